@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import token_counts
+from . import byte_bpe, minhash_dedup, token_counts
 
 QUERIES = {
+    "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op9_byte_bpe": byte_bpe.op9_byte_bpe,
 }
 
 #: DuckDB SQL of the queries that SQL can express.

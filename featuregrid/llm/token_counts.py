@@ -8,6 +8,8 @@ bytes. No ids leave the worker, only counts.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,12 @@ class PieceCounter:
         return [sum(map(known.__getitem__, pieces)) for pieces in split]
 
 
+@functools.lru_cache(maxsize=4)
+def counter_of(path: str) -> PieceCounter:
+    """One counter in each Python worker, with the lengths it remembers from task to task."""
+    return PieceCounter(path)
+
+
 def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_bytes, n_tokens`` for each row of ``df``.
 
@@ -90,7 +98,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        counter = PieceCounter(tokenizer_path)
+        counter = counter_of(tokenizer_path)
 
         def work(batch):
             counts = counter.count(batch.column(1).to_pylist())
