@@ -74,3 +74,10 @@ def map_arrow(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
                 yield work(batch.slice(i, step))
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows; else the plan shuffles it."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
