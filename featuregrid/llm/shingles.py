@@ -9,7 +9,8 @@ SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z read as a-z
+_FOLDED = _BYTE.copy()
+_FOLDED[65:91] = _BYTE[97:123]  # A-Z read as a-z
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -32,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in ``data`` (UTF-8), and for each text where its words begin.
 
     ``offsets`` holds the byte position of each text and the end of the last.
@@ -54,7 +55,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     at = np.flatnonzero(inside)
     word = word[at]
     place = at - starts[word]
-    values = _BYTE[data[at]] * _powers(int(place.max()) + 1)[place]
+    values = (_FOLDED if fold else _BYTE)[data[at]] * _powers(int(place.max()) + 1)[place]
     begin = np.flatnonzero(first[at])
     return mix(np.add.reduceat(values, begin)), counts
 
