@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, minhash_dedup, quality_rules, token_counts
+from . import byte_bpe, decontamination, minhash_dedup, pii, quality_rules, token_counts
 
 QUERIES = {
     "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
@@ -10,10 +10,12 @@ QUERIES = {
     "op6_decontamination": decontamination.op6_decontamination,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+    "op10_pii": pii.op10_pii,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op6_decontamination": decontamination.OP6_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
+    "op10_pii": pii.OP10_SQL,
 }
