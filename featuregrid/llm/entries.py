@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, minhash_dedup, pii, quality_rules, token_counts
+from . import byte_bpe, decontamination, minhash_dedup, pii, preference_chat, quality_rules, sharding, token_counts
 
 QUERIES = {
+    "op2_preference_chat": preference_chat.op2_preference_chat,
+    "op3_sharding": sharding.op3_sharding,
     "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_decontamination": decontamination.op6_decontamination,
@@ -15,6 +17,7 @@ QUERIES = {
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op2_preference_chat": preference_chat.OP2_SQL,
     "op6_decontamination": decontamination.OP6_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
     "op10_pii": pii.OP10_SQL,
