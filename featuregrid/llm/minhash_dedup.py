@@ -122,15 +122,14 @@ def agreeing(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long")
 
 
-def confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets overlap by at least ``percent``.
 
-    The texts of both ends are fetched by joins on u and v. Sorted by u, the set of a bucket's
-    first member is built once for a run of its pairs.
+    The texts of both ends, rows (node, text), are joined to the pairs. Sorted by u, the set of
+    a bucket's first member is built once for a run of its pairs.
     """
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    both = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("text_v")), "v")
-    both = both.join(texts.select(F.col("id").alias("u"), F.col("text").alias("text_u")), "u")
+    both = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
+    both = both.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
 
     def run(batches):
         import pyarrow as pa
@@ -152,34 +151,73 @@ def confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, width
                         last[key] = a
                         if len(last) > 4:
                             last.popitem(last=False)
-                    both_in = len(np.intersect1d(a, b, assume_unique=True))
-                    keep.append(bool(len(a) and len(b)) and 100 * both_in >= percent * (len(a) + len(b) - both_in))
+                    keep.append(_linked(a, b, percent))
                 keep = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
     return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long").distinct()
 
 
-def _blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs within blocks: rows (bucket, i, j, outside, node, component, n, signature),
-    where the outside rows of a block meet all its rows of other components."""
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets overlap by at least ``percent``."""
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def linked_in_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links found in blocks of (bucket, i, j, outside, node, component, n, signature, bands, text).
+
+    The outside rows of a block meet its other rows of different components; a pair is looked at
+    in the first band that it shares only. What passes the size bound and signature
+    verification is decided on full sets at once, so only links leave a block, and two
+    components that a link has joined are not compared again in it.
+    """
     floor = _agreement_floor(percent / 100)
 
-    def compare(group: list[tuple]) -> tuple[list[int], list[int]]:
+    def compare(group: list[tuple]) -> list[tuple[int, int]]:
+        import pyarrow as pa
+
+        from .shingles import shingle_sets, text_bytes
+
         outer = [r for r in group if r[3]]
         inner = [r for r in group if not r[3]]
-        us, vs = [], []
-        if outer and inner:
-            nodes, comps, sizes = (np.array([r[k] for r in inner], np.int64) for k in (4, 5, 6))
-            sigs = np.frombuffer(b"".join(r[7] for r in inner), np.uint8).reshape(len(inner), -1)
-            for r in outer:
-                fits = (comps != r[5]) & (100 * np.minimum(sizes, r[6]) >= percent * np.maximum(sizes, r[6]))
-                fits = np.flatnonzero(fits)
-                if len(fits):
-                    close = fits[(sigs[fits] == np.frombuffer(r[7], np.uint8)).sum(1) >= floor]
-                    us += np.minimum(nodes[close], r[4]).tolist()
-                    vs += np.maximum(nodes[close], r[4]).tolist()
-        return us, vs
+        if not outer or not inner:
+            return []
+        bucket = group[0][0]
+        comps, sizes = (np.array([r[k] for r in inner], np.int64) for k in (5, 6))
+        sigs = np.frombuffer(b"".join(r[7] for r in inner), np.uint8).reshape(len(inner), -1)
+        bands = np.array([r[8] for r in inner], np.int64)
+        sets: dict[int, np.ndarray] = {}
+        links, joined = [], {}
+
+        def root(c: int) -> int:
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
+
+        def set_of(row: tuple) -> np.ndarray:
+            if row[4] not in sets:
+                sets[row[4]] = shingle_sets(*text_bytes(pa.array([row[9]], pa.string())), width)[0]
+            return sets[row[4]]
+
+        for r in outer:
+            fits = np.flatnonzero((comps != r[5]) & (100 * np.minimum(sizes, r[6]) >= percent * np.maximum(sizes, r[6])))
+            if not len(fits):
+                continue
+            agree = (sigs[fits] == np.frombuffer(r[7], np.uint8)).sum(1)
+            close = np.flatnonzero(agree >= floor)
+            shared = bands[fits[close]] == np.array(r[8], np.int64)
+            first = np.array(r[8], np.int64)[shared.argmax(1)] == bucket if len(close) else []
+            close = close[first] if len(close) else close
+            for k in close[np.argsort(-agree[close], kind="stable")]:
+                other = inner[fits[k]]
+                a, b = root(r[5]), root(other[5])
+                if a != b and _linked(set_of(r), set_of(other), percent):
+                    joined[max(a, b)] = min(a, b)
+                    links.append((min(r[4], other[4]), max(r[4], other[4])))
+        return links
 
     def run(batches):
         import pyarrow as pa
@@ -187,8 +225,8 @@ def _blocks(rows: DataFrame, percent: int) -> DataFrame:
         key, group = None, []
 
         def out():
-            us, vs = compare(group)
-            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            links = compare(group)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -223,10 +261,12 @@ def near_duplicates(df: DataFrame, work: Workspace, id_col: str = "doc_id", text
 
     # First round: every bucket's members against its least.
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min(F.col("node")).alias("head"), F.count("*").alias("members")).where("members > 1")
+    heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1")
     joined = work.save(buckets.join(heads, "bucket"))
+    texts = slim.where("id is not null").select(F.col("id").alias("node"), "text").join(joined.select("node").distinct(), "node")
+    texts = work.save(texts)
     star = joined.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
-    linked = work.save(confirmed(_passing(star, nodes, percent), slim, "id", "text", width, percent))
+    linked = work.save(confirmed(_passing(star, nodes, percent), texts, width, percent))
     parts = connected_components(linked, work)
 
     # Second round: what may still join two components, in blocks.
@@ -236,11 +276,13 @@ def near_duplicates(df: DataFrame, work: Workspace, id_col: str = "doc_id", text
     open_buckets = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.sum(outer).alias("outside")).where("outside > 0")
     rows = placed.join(open_buckets, "bucket")
     rows = rows.select("bucket", "node", "component", "n", (outer == 1).alias("is_outside"), F.ceil(F.col("members") / BLOCK).cast("int").alias("m"), F.ceil(F.col("outside") / BLOCK).cast("int").alias("o"))
-    rows = work.save(rows.join(nodes.select("node", "n", "signature"), ["node", "n"]))
+    rows = work.save(rows)
+    full = rows.join(nodes, ["node", "n"]).join(texts, "node")
     salt = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
-    inner = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("i"), (salt % F.col("m")).alias("j"), F.lit(False).alias("outside"), "node", "component", "n", "signature")
-    outside = rows.where("is_outside").select("bucket", (salt % F.col("o")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), F.lit(True).alias("outside"), "node", "component", "n", "signature")
-    more = work.save(confirmed(_blocks(inner.unionByName(outside), percent), slim, "id", "text", width, percent))
+    carried = ["node", "component", "n", "signature", "bands", "text"]
+    inner = full.select("bucket", F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("i"), (salt % F.col("m")).alias("j"), F.lit(False).alias("outside"), *carried)
+    outside = full.where("is_outside").select("bucket", (salt % F.col("o")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), F.lit(True).alias("outside"), *carried)
+    more = work.save(linked_in_blocks(inner.unionByName(outside), width, percent))
     if not more.isEmpty():
         parts = connected_components(linked.union(more), work)
 
@@ -249,7 +291,7 @@ def near_duplicates(df: DataFrame, work: Workspace, id_col: str = "doc_id", text
     alone = prints.where("class is null or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     out = known.union(alone)
     out = work.save(out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))))
-    work.drop(joined, rows, nodes, linked, more, prints)
+    work.drop(joined, texts, rows, nodes, linked, more, prints)
     return out.withColumnRenamed("id", id_col)
 
 
