@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, minhash_dedup, pii, preference_chat, quality_rules, sharding, token_counts
+from . import byte_bpe, decontamination, factorisation, minhash_dedup, pii, preference_chat, quality_rules, sharding, token_counts
 
 QUERIES = {
+    "op1_factorisation": factorisation.op1_factorisation,
     "op2_preference_chat": preference_chat.op2_preference_chat,
     "op3_sharding": sharding.op3_sharding,
     "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
