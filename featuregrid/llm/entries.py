@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontamination, factorisation, minhash_dedup, pii, preference_chat, quality_rules, sharding, token_counts
+from . import byte_bpe, decontamination, factorisation, license_scan, minhash_dedup, pii, preference_chat, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_factorisation": factorisation.op1_factorisation,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_minhash_dedup": minhash_dedup.op4_minhash_dedup,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_license_scan": license_scan.op7_license_scan,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_pii": pii.op10_pii,
