@@ -22,6 +22,8 @@ from .license_templates import KEYWORDS, TEMPLATES
 GAP, AROUND = 6, 250
 #: Least share of a template's own saving for a candidate.
 LEAST_SAVING = 0.2
+#: Templates that can save fewer bytes are too short to rank, and are all confirmed by wording.
+LEAST_BYTES = 12
 #: Templates of up to so many words must occur word by word; longer ones may miss this share.
 SHORT, MISSING = 20, 0.08
 
@@ -61,7 +63,7 @@ class Scanner:
         raw = " ".join(block).encode()
         alone = len(self.plain.compress(raw))
         shares = [(min((alone - len(informed.compress(raw))) / own, 1.0), -k) for k, (_, _, informed, own) in enumerate(self.templates)]
-        return [(s, -k) for s, k in sorted(shares, reverse=True) if s >= LEAST_SAVING]
+        return [(s, -k) for s, k in sorted(shares, reverse=True) if s >= LEAST_SAVING or self.templates[-k][3] < LEAST_BYTES]
 
     def missing(self, block: list[str], k: int) -> int | None:
         """Words of template k that the block lacks, or None if it is another wording."""
