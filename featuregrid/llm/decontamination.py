@@ -100,7 +100,9 @@ def contamination(docs: DataFrame, bench: DataFrame, work: Workspace, id_col: st
     near = whole(met.withColumn("slot", F.explode(slots)).groupBy("row", "item", "slot").agg(F.collect_set("place").alias("places"))).select("row", "item").distinct()
 
     # Exact phrases: candidates against the words of the text.
-    texts = corpus.select("row", F.split("words", " ").alias("text_words"))
+    candidates = work.save(candidates)
+    texts = corpus.join(broadcast_if_small(candidates.select("row").distinct(), BROADCAST_ROWS), "row", "left_semi")
+    texts = texts.select("row", F.split("words", " ").alias("text_words"))
     checked = candidates.join(texts, "row").join(broadcast_if_small(items.select("item", "item_id", "words", "width"), BROADCAST_ROWS), "item")
     same = lambda s: (F.col("shift") + s >= 0) & (F.slice("text_words", F.greatest(F.col("shift") + s + 1, F.lit(1)), F.col("width")) == F.slice("words", s + 1, F.col("width")))
     exact = checked.withColumn("found", F.filter("found", same)).where(F.size("found") > 0)
