@@ -192,8 +192,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, text_col: str, chars_col
     return np.repeat(np.arange(len(got)), lens), flat("cols").astype(np.int64), flat("vals").astype(float), stats, [x["label"] for x in got]
 
 
-def score_documents(docs: DataFrame, model: Machine, keep: list[str], text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """``keep`` and ``score`` of each row; only the text and its declared length are inputs.
+def score_documents(docs: DataFrame, model: Machine, keep: list[str], text_col: str = "text", chars_col: str = "n_chars", out_col: str = "score") -> DataFrame:
+    """``keep`` and ``out_col`` of each row, a score from 0 to 1; only the text and its declared length are inputs.
 
     A null text counts as empty and has a score as well; a null declared length is taken from
     the text. Equal texts with equal declared lengths get equal scores.
@@ -207,14 +207,14 @@ def score_documents(docs: DataFrame, model: Machine, keep: list[str], text_col:
         def work(batch):
             k = len(keep)
             scores = model.score(*extract(*text_bytes(batch.column(k)), _declared(batch.column(k + 1))))
-            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(scores, pa.float64())], names=[*keep, "score"])
+            return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(scores, pa.float64())], names=[*keep, out_col])
 
         return work
 
     # The text may be kept as well, so it is read again under a name of its own.
     slim = docs.select(*keep, F.col(text_col).alias("__text"), F.col(chars_col).cast("long").alias("__chars"))
     kinds = dict(docs.dtypes)
-    return map_arrow(slim, [*keep, "__text", "__chars"], ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double", make, batch_bytes=2 << 20)
+    return map_arrow(slim, [*keep, "__text", "__chars"], ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", `{out_col}` double", make, batch_bytes=2 << 20)
 
 
 def held_out(id_col: str = "doc_id"):
