@@ -1,16 +1,77 @@
-"""Corpus pipeline: quality, near copies, benchmark passages, personal data, token ids."""
+"""Corpus pipeline: quality, near copies, benchmark passages, personal data, token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. The
+filtering stages keep whole rows; all stages but the last return the columns of their input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from featuregrid.llm import byte_bpe, decontamination, factorisation, minhash_dedup, pii
+from featuregrid.llm.common import Workspace, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = factorisation.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = factorisation.score_documents(docs, model, docs.columns, out_col="__score")
+    return scored.where(F.col("__score") >= factorisation.THRESHOLD).drop("__score")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the least
+    id. Documents without words or without an id are in no group. Repeated rows count as copies."""
+    verdicts = minhash_dedup.near_duplicates(docs, Workspace(spark, "minhash"))
+    kept = verdicts.where("kept").select(F.col("doc_id").alias("__kept"))
+    counted = kept.groupBy("__kept").count()
+    out = docs.join(counted, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    if counted.where("count > 1 and __kept is not null").isEmpty():
+        return out
+    named = out.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(out.where("doc_id is null"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without more than a few words of benchmark passages."""
+    key = lambda: F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    found = decontamination.contamination(docs.select(key().alias("doc"), "text"), table(spark, sf_dir, "benchmark"), Workspace(spark, "decontamination"), id_col="doc")
+    bad = found.where(decontamination.is_contaminated()).select("doc.doc_id", "doc.text_hash").distinct().toDF("__id", "__hash")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
+    return docs.join(bad, same, "left_anti")
+
+
+def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind; n_chars follows the text."""
+    found = pii.find_pii(docs, out_col="__pii")
+    changed = F.size("__pii") > 0
+    out = pii.redact(found, spans_col="__pii")
+    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the digests of ids and decoded bytes."""
+    out = byte_bpe.encode_documents(docs, byte_bpe.default_ranks(), byte_bpe.default_pattern())
+    return out.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("minhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("pii", remove_pii),
+    ("byte-level bpe", encode),
+]
 
-STAGES: list = []
 #: The stages use a trained model and exact set similarity, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written to the shared folder and reread by the next."""
+    work = Workspace(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = work.save(stage(spark, docs, sf_dir))
     return docs
