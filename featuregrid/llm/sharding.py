@@ -28,11 +28,12 @@ def _key() -> Column:
     return F.struct("key", "id", "seq")
 
 
-def _sample(rows: DataFrame, n: int) -> list[tuple[int, int, int]]:
-    """At most n keys, drawn with chances in proportion to size: the least -ln(u) / size win."""
+def _sample(rows: DataFrame, n: int, total: int) -> list[tuple[int, int, int]]:
+    """About n keys out of ``total`` bytes, each drawn with a chance in proportion to its size by a
+    hash, so that only the drawn keys reach the driver."""
     u = (F.pmod(F.xxhash64("key", "id", "seq", F.lit(17)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    drawn = rows.select("key", "id", "seq", (-F.log(u) / F.col("size")).alias("race")).orderBy("race", "key", "id", "seq").limit(n)
-    return sorted((r["key"], r["id"], r["seq"]) for r in drawn.collect())
+    drawn = rows.where(u < F.col("size") * (n / max(total, 1))).select("key", "id", "seq")
+    return sorted(map(tuple, drawn.collect()))
 
 
 def _range_of(splitters: list[tuple[int, int, int]]) -> Column:
@@ -63,20 +64,20 @@ def assign_shards(df: DataFrame, shards: int, work: Workspace, id_col: str = "do
     )
     rows = work.save(rows)
     ranges = shards * RANGES
-    sample = _sample(rows, ranges * SAMPLES)
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    sample = _sample(rows, ranges * SAMPLES, total)
     splitters = sorted(set(sample[SAMPLES::SAMPLES]))
     for _ in range(ROUNDS):
         ranged = rows.withColumn("range", _range_of(splitters))
         totals = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-        mean = sum(r["bytes"] for r in totals) / ranges
-        overfull = [r["range"] for r in totals if r["bytes"] > OVERFULL * mean and r["n"] > 1]
-        if not overfull:
+        mean = total / ranges
+        over = {r["range"]: r["bytes"] for r in totals if r["bytes"] > OVERFULL * mean and r["n"] > 1}
+        if not over:
             break
-        more = _sample(ranged.where(F.col("range").isin(overfull)), ranges * SAMPLES)[SAMPLES // 2 :: SAMPLES]
+        more = _sample(ranged.where(F.col("range").isin(*over)), ranges * SAMPLES, sum(over.values()))[SAMPLES // 2 :: SAMPLES]
         if not set(more) - set(splitters):
             break
         splitters = sorted({*splitters, *more})
-    total = sum(r["bytes"] for r in totals)
     offsets, at_bytes, at_row = [], 0, 0
     for r in sorted(totals, key=lambda r: r["range"]):
         offsets.append((r["range"], at_bytes, at_row))
