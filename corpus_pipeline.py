@@ -16,7 +16,7 @@ from featuregrid.llm.common import Workspace, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = factorisation.fit_quality(docs, table(spark, sf_dir, "labels"))
-    scored = factorisation.score_documents(docs, model, docs.columns, out_col="__score")
+    scored = factorisation.score_documents(docs, model, out_col="__score")
     return scored.where(F.col("__score") >= factorisation.THRESHOLD).drop("__score")
 
 

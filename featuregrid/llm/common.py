@@ -55,7 +55,20 @@ class Workspace:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def map_arrow(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable], batch_bytes: int = 8 << 20) -> DataFrame:
+def release_memory() -> None:
+    """Hand freed memory of a Python worker back, since idle workers stay beside the next stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable], batch_bytes: int = 2 << 20) -> DataFrame:
     """Run a batch function over ``columns`` of ``df``.
 
     ``make`` is called once in each Python task and returns a function from a pyarrow table
@@ -72,6 +85,8 @@ def map_arrow(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
             step = max(1, int(n * batch_bytes / max(1, batch.nbytes)))
             for i in range(0, n, step):
                 yield work(batch.slice(i, step))
+            del batch
+        release_memory()
 
     return df.select(*columns).mapInArrow(run, schema)
 
