@@ -1,0 +1,417 @@
+"""Operators against brute force, and on odd and empty tables."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from featuregrid.llm import byte_bpe, decontamination, entries, factorisation, license_scan, minhash_dedup, pii, preference_chat, quality_rules, sharding, token_counts
+from featuregrid.llm.components import connected_components
+from featuregrid.llm.license_templates import TEMPLATES
+
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def table_of(data, name):
+    import duckdb
+
+    return duckdb.sql(f"select * from '{data}/{name}.parquet'").df()
+
+
+# Quality classifier
+
+
+def test_machine_scores_pairwise_sums():
+    """The linear-time score equals the sum over all pairs of features."""
+    rng = np.random.default_rng(0)
+    machine = factorisation.Machine([np.array([0.5])] * len(factorisation.STATISTICS), 0.1, rng.normal(size=factorisation.BUCKETS + 11 * len(factorisation.STATISTICS)), rng.normal(0, 0.1, (factorisation.BUCKETS + 11 * len(factorisation.STATISTICS), 3)))
+    rows, cols, values = np.array([0, 0, 1]), np.array([5, 9, 5]), np.array([0.6, 0.8, 1.0])
+    stats = rng.random((2, len(factorisation.STATISTICS)))
+    r, c, v = machine.sparse(rows, cols, values, stats)
+    for k in range(2):
+        f = [(a, b) for x, a, b in zip(r, c, v) if x == k]
+        z = machine.bias + sum(machine.weights[a] * b for a, b in f) + sum(machine.factors[f[i][0]] @ machine.factors[f[j][0]] * f[i][1] * f[j][1] for i in range(len(f)) for j in range(i))
+        assert np.isclose(machine.logits(r, c, v, 2)[k], z)
+
+
+def test_held_out_quality(spark, data):
+    big = data.replace("0.001", "0.01")
+    rows = entries.QUERIES["op1_factorisation"](spark, big).collect()
+    labels = dict(table_of(big, "labels")[["doc_id", "quality"]].itertuples(index=False))
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+    held = [(r["score"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+    good, bad = [s for s, q in held if q], [s for s, q in held if not q]
+    assert np.mean([[(a > b) + 0.5 * (a == b) for b in bad] for a in good]) > 0.95
+
+
+def test_quality_of_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 1), (5, 0), (8, 0), (12, 1), (None, 1), (11, None)], "doc_id long, quality int")
+    model = factorisation.fit_quality(odd, labels)
+    rows = factorisation.score_documents(odd, model, out_col="s").collect()
+    assert len(rows) == odd.count() and all(0 <= r["s"] <= 1 for r in rows)
+    same = {r["s"] for r in rows if r["doc_id"] in (1, 6)}
+    assert len(same) == 1
+    empty = factorisation.fit_quality(none, labels)
+    assert factorisation.score_documents(none, empty, out_col="s").count() == 0
+    assert {round(r["s"], 3) for r in factorisation.score_documents(odd, empty, out_col="s").collect()} == {0.5}
+
+
+# Sharding
+
+
+def check_shards(rows, texts, shards):
+    """rows: (id, size, crc, shard, slot)."""
+    by = defaultdict(list)
+    for i, size, crc, shard, slot in rows:
+        by[shard].append((slot, size))
+    assert all(sorted(s for s, _ in v) == list(range(len(v))) for v in by.values())
+    assert sorted((size, crc) for _, size, crc, _, _ in rows) == sorted((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for t in texts)
+    total, most = sum(r[1] for r in rows), max((r[1] for r in rows), default=0)
+    for k in range(shards):
+        assert abs(sum(s for _, s in by[k]) - total / shards) <= most + 1
+
+
+def test_shards_of_documents(spark, data):
+    rows = entries.QUERIES["op3_sharding"](spark, data).collect()
+    docs = table_of(data, "documents")
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs["doc_id"])
+    check_shards([(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in rows], docs["text"].tolist(), 24)
+
+
+def test_shards_of_odd_and_hot_rows(spark, odd, none, work):
+    out = sharding.assign_shards(odd, 3, work)
+    rows = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in out.collect()]
+    check_shards(rows, [r["text"] for r in odd.collect()], 3)
+    assert sharding.assign_shards(none, 3, work).count() == 0
+    hot = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 2000, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    rows = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.assign_shards(hot, 8, work).collect()]
+    check_shards(rows, [r["text"] for r in hot.collect()], 8)
+
+
+def test_written_shards(spark, data, work, tmp_path):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    sharding.write_shards(docs, sharding.assign_shards(docs, 4, work), str(tmp_path / "shards"))
+    assert spark.read.parquet(str(tmp_path / "shards")).groupBy("shard").count().count() == 4
+
+
+# Near-duplicates
+
+
+def shingles(text, width):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return frozenset(zip(*(w[k:] for k in range(width)))) if len(w) >= width else frozenset([tuple(w)] if w else [])
+
+
+def brute_components(rows, width):
+    """Component of each id by comparing all pairs."""
+    sets = {i: shingles(t, width) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(i for i in sets if sets[i])
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            x, y = sets[a], sets[b]
+            if 10 * min(len(x), len(y)) >= 8 * max(len(x), len(y)):
+                n = len(x & y)
+                if 100 * n >= 80 * (len(x) + len(y) - n):
+                    p, q = sorted((find(a), find(b)))
+                    root[q] = p
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_components_of_documents(spark, data):
+    docs = table_of(data, "documents")
+    want = brute_components(list(zip(docs["doc_id"], docs["text"])), 2)
+    rows = entries.QUERIES["op4_minhash_dedup"](spark, data).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == want
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
+
+
+def test_chains_and_near_groups(spark, work):
+    """Groups whose members are linked only through others, and others just under the bound."""
+    rng = random.Random(3)
+    rows, n = [], 0
+    for _ in range(6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(40):
+            copy = words[:]
+            for k in rng.sample(range(120), rng.choice((2, 5, 8, 11, 14))):
+                copy[k] = f"z{rng.randrange(10**6)}"
+            rows.append((n, " ".join(copy)))
+            n += 1
+            if rng.random() < 0.3:
+                words = copy
+    rng.shuffle(rows)
+    for width in (2, 5):
+        want = brute_components(rows, width)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = minhash_dedup.near_duplicates(df, work, width=width).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_blocks_split_large_buckets(spark, work, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+    test_chains_and_near_groups(spark, work)
+
+
+def test_near_duplicates_of_odd_rows(spark, odd, none, work):
+    rows = minhash_dedup.near_duplicates(odd, work, width=2).collect()
+    got = defaultdict(set)
+    for r in rows:
+        got[r["doc_id"]].add((r["n_shingles"], r["component_id"], r["kept"]))
+    assert len(rows) == odd.count()
+    assert got[6] == {(13, 1, False)} and got[7] == {(13, 1, False)} and got[1] == {(13, 1, True)}
+    assert got[2] == {(0, 2, True)} and got[3] == {(0, 3, True)} and got[4] == {(0, 4, True)}
+    assert got[11] == {(1, 11, True)} and got[None] == {(10, None, True)} and len(got[9]) == 1
+    assert minhash_dedup.near_duplicates(none, work).count() == 0
+
+
+def test_signatures_keep_minima():
+    sets = [np.unique(np.random.default_rng(k).integers(0, 2**63, 500, dtype=np.uint64)) for k in range(3)]
+    family = minhash_dedup.hash_family(16)
+    got = minhash_dedup.minima(sets, family)
+    want = [[min((int(x >> np.uint64(32)) * int(a) + int(b)) % 2**32 for x in s) for a, b in zip(*family)] for s in sets]
+    assert got.tolist() == want
+
+
+def test_components(spark, work):
+    edges = [(5, 3), (3, 9), (1, 2), (2, 1), (7, 7), (None, 4), (9, 10), (20, 10)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long"), work).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 5: 3, 9: 3, 10: 3, 20: 3}
+    path = spark.range(60).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert {r["component"] for r in connected_components(path, work).collect()} == {0}
+    assert connected_components(path.where("1 = 0"), work).count() == 0
+
+
+# Tokens
+
+
+def test_token_counts(spark, data, odd, none):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(token_counts.default_tokenizer())
+    docs = table_of(data, "documents")
+    want = {i: (len(t.encode()), len(reference.encode(t, add_special_tokens=False).ids)) for i, t in zip(docs["doc_id"], docs["text"])}
+    rows = entries.QUERIES["op5_token_counts"](spark, data).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in rows} == want
+    assert all(r["over_limit"] == (r["n_tokens"] > 2048) for r in rows)
+    extra = odd.select("doc_id", "text").union(spark.createDataFrame([(30, "a<|endoftext|> <|startoftext|>b don't")], "doc_id long, text string"))
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(extra, token_counts.default_tokenizer()).collect())
+    assert got == sorted((str(r["doc_id"]), len((r["text"] or "").encode()), len(reference.encode(r["text"] or "", add_special_tokens=False).ids)) for r in extra.collect())
+    assert token_counts.count_tokens(none, token_counts.default_tokenizer()).count() == 0
+
+
+def test_byte_bpe(spark, data, odd, none):
+    import tiktoken
+
+    ranks = byte_bpe.load_ranks(byte_bpe.default_ranks())
+    reference = tiktoken.Encoding("own", pat_str=byte_bpe.default_pattern(), mergeable_ranks=ranks, special_tokens={})
+
+    def digest(text):
+        ids = np.array(reference.encode_ordinary(text or ""), "<u4").tobytes()
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
+
+    docs = table_of(data, "documents")
+    rows = entries.QUERIES["op9_byte_bpe"](spark, data).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows} == {i: digest(t) for i, t in zip(docs["doc_id"], docs["text"])}
+    out = byte_bpe.digests(odd, byte_bpe.default_ranks(), byte_bpe.default_pattern())
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out.collect())
+    assert got == sorted((str(r["doc_id"]), *digest(r["text"])) for r in odd.collect())
+    encoded = byte_bpe.encode_documents(odd, byte_bpe.default_ranks(), byte_bpe.default_pattern())
+    back = byte_bpe.decode_documents(encoded, byte_bpe.default_ranks())
+    assert sorted(bytes(r["decoded"]) for r in back.collect()) == sorted((r["text"] or "").encode() for r in odd.collect())
+    assert byte_bpe.encode_documents(none, byte_bpe.default_ranks(), byte_bpe.default_pattern()).count() == 0
+
+
+def test_merges_of_random_pieces():
+    """Trees of one piece, trees in groups, and merging by search agree, on a made-up vocabulary."""
+    rng = random.Random(5)
+    tokens = [bytes([b]) for b in range(97, 101)]
+    while len(tokens) < 60:
+        t = rng.choice(tokens) + rng.choice(tokens)
+        if t not in tokens and len(t) < 9:
+            tokens.append(t)
+    ranks = {t: k for k, t in enumerate(tokens)}
+    pairs = byte_bpe.PairTable(ranks)
+
+    def plain(piece):
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while True:
+            found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not found:
+                return [ranks[p] for p in parts]
+            _, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    pieces = [bytes(rng.choice(b"abcd") for _ in range(rng.randrange(2, 65))) for _ in range(300)]
+    grouped = byte_bpe.merge_pieces(pieces, pairs, 64)
+    for piece, ids in zip(pieces, grouped):
+        want = plain(piece)
+        assert np.frombuffer(ids, "<u4").tolist() == want
+        assert byte_bpe.merge_piece(piece, ranks) == ([ranks[piece]] if piece in ranks else want)
+
+
+# Decontamination
+
+
+def test_proximity_and_exact_matches(spark, work):
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november"
+    filler = "some other words that no item has at all " * 5
+    docs = spark.createDataFrame([(1, filler + item.upper() + " " + filler), (2, filler + item.replace("golf", "golf very") + filler), (3, filler), (4, item), (5, "mike alpha")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    rows = {r["doc_id"]: r for r in decontamination.contamination(docs, bench, work).collect()}
+    assert rows[1]["n_hit"] == 14 and rows[1]["items"] == ["7"] and rows[4]["n_hit"] == 14
+    assert rows[2]["n_hit"] == 0 and rows[2]["near_items"] == ["7"]
+    assert rows[3]["near_items"] == [] and rows[5]["near_items"] == []
+
+
+def test_shuffled_benchmark_tables(spark, data, work, monkeypatch):
+    """Beyond the broadcast bound the same rows come from shuffled joins."""
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
+    from oracle import same_rows
+
+    same_rows(entries.QUERIES["op6_decontamination"](spark, data), entries.ORACLES["op6_decontamination"], data)
+
+
+# Licences
+
+
+def test_license_templates():
+    scan = license_scan.scanner()
+    for name, wording in TEMPLATES:
+        assert {x[2] for x in scan.scan(f"first line\n{wording}\nlast line")} == {name}
+    changed = dict(TEMPLATES[::-1])["MIT"]
+    long = next(w for n, w in TEMPLATES if n == "MIT" and len(w) > 100)
+    assert changed and scan.scan(long.replace("WARRANTY", "PROMISE"))[0][4] == 1
+    assert scan.scan("Licensed under CC BY-NC 4.1.") == [] and scan.scan("a license to fish") == []
+    assert scan.scan("x" * 50_000 + " Released under the MIT License. " + "y " * 50_000)[0][2] == "MIT"
+
+
+def test_license_scan_of_documents(spark, data, odd, none):
+    """The ranking loses no licence that trying every wording on every block finds."""
+    scan = license_scan.scanner()
+
+    def brute(text):
+        found = set()
+        for a, b in scan.blocks(text):
+            block = license_scan.words_of(text[a:b])
+            hits = {k for k in range(len(TEMPLATES)) if scan.missing(block, k) is not None}
+            found |= {TEMPLATES[k][0] for k in hits if not scan.inside[k] & hits}
+        return ",".join(sorted(found))
+
+    docs = table_of(data, "documents")
+    rows = {r["doc_id"]: r["licenses"] for r in entries.QUERIES["op7_license_scan"](spark, data).collect()}
+    assert rows == {i: brute(t) for i, t in zip(docs["doc_id"], docs["text"])} and any(rows.values())
+    got = {r["doc_id"]: [m["license"] for m in r["matches"]] for r in license_scan.scan_licenses(odd).collect()}
+    assert got[13] == ["MIT"] and got[2] == got[3] == got[5] == []
+    assert license_scan.scan_licenses(none).count() == 0
+
+
+# Quality rules
+
+
+def test_quality_fences_join_by_shuffle(spark, data, monkeypatch):
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 0)
+    from oracle import same_rows
+
+    same_rows(entries.QUERIES["op8_quality_rules"](spark, data), entries.ORACLES["op8_quality_rules"], data)
+
+
+def test_quality_rules_keep_clean_rows(spark, work):
+    rng = random.Random(1)
+    clean = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(80)), "en", f"s{i % 3}") for i in range(300)]
+    junk = [(1000, "word### " * 3 + " ".join(f"w{k}###$$$" for k in range(60)), "en", "s0"), (1001, "a b c", "en", "s0"), (1002, "same words here again now " * 30, "en", "s1")]
+    rows = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string"), work).collect()}
+    assert all(rows[i]["kept"] for i in range(300))
+    assert not any(rows[i]["kept"] for i in (1000, 1001, 1002)) and rows[1000]["failed_ratios"] == ["length", "symbols"] and not rows[1000]["base_failed"]
+
+
+# Personal data
+
+
+def test_pii_spans_and_redaction(spark, odd):
+    found = pii.find_pii(odd)
+    row = found.where("doc_id = 12").first()
+    text = row["text"]
+    assert [(s["kind"], text[s["start"] : s["end"]]) for s in row["pii"]] == [("email", "a.b+c@mail.example.com"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (212) 555-0199"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "123-45-6789")]
+    out = {r["doc_id"]: r["text"] for r in pii.redact(found).collect()}
+    assert out[12] == "Mail [email], call [phone], card [card], host [ip], bad 10.0.0.256, IBAN [iban], ssn [ssn]"
+    assert out[2] is None and out[3] == "" and out[5] == odd.where("doc_id = 5").first()["text"]
+
+
+def test_pii_against_python(spark):
+    """Spans of random texts against the contract's plain patterns in Python."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab1234.-@+ ()é\U0001f600%") for _ in range(rng.randrange(0, 80))) for _ in range(1500)]
+    texts += ["1.1.1.1" * 3, "a@b.c" * 4, "4111111111111111 4111-1111-1111-1111", "+123456789+987654321012", "000.000.0255.1", "a@-.-.", "@a@b.c+d@e.f"]
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def spans(t):
+        out = []
+        digits = lambda m: re.sub("[^0-9]", "", m)
+        for kind, pattern, good in (
+            ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+            ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+            ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+            ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+        ):
+            out += [(kind, m.start(), m.end()) for m in re.finditer(pattern, t) if good(m[0])]
+        return out
+
+    df = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for r in df.collect():
+        assert [(s["kind"], s["start"], s["end"]) for s in r["pii"] if s["kind"] in ("email", "ip", "card", "phone")] == spans(r["text"]), r["text"]
+
+
+def test_pii_takes_no_squared_time(spark):
+    runs = spark.createDataFrame([(1, "a" * 100_000), (2, "7" * 100_000), (3, "+1" + " " * 100_000), (4, "a." * 50_000 + "@"), (5, "x@" + "a." * 40_000), (6, "1." * 50_000)], "doc_id long, text string")
+    assert pii.find_pii(runs).select(F.size("pii").alias("n")).agg(F.sum("n")).first()[0] is not None
+
+
+# Chats
+
+
+def test_preference_prefixes(spark):
+    turn = lambda r, t: {"role": r, "text": t}
+    a = [turn("user", "q"), turn("assistant", "same"), turn("user", "r"), turn("assistant", "good")]
+    b = a[:3] + [turn("assistant", "bad")]
+    df = spark.createDataFrame([(1, a, b), (2, a, a), (3, a, a[:3]), (4, a, None), (5, [], [])], "id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
+    rows = {r["id"]: r for r in preference_chat.format_preferences(df).collect()}
+    assert rows[1]["n_prompt"] == 3 and rows[1]["prompt"].count("<|im_end|>") == 3 and rows[1]["status"] == "pair"
+    start, end = map(int, rows[1]["chosen_spans"].split(":"))
+    assert rows[1]["chosen"][start:end] == "good<|im_end|>\n" and "bad" in rows[1]["rejected"]
+    assert rows[2]["status"] == "same" and rows[3]["status"] == "one-sided" and rows[3]["rejected"] == ""
+    assert rows[4]["status"] == "no rejected" and rows[4]["rejected"] is None and rows[5]["status"] == "same"
+    own = preference_chat.format_preferences(df, preference_chat.Template("[", "] ", "\n")).where("id = 1").first()
+    assert own["chosen"] == "[assistant] good\n"
+
+
+def test_bounded_words_are_counted_whole():
+    """Words of any length hash by all their bytes."""
+    from featuregrid.llm.shingles import word_hashes
+
+    texts = ["a" * 9000, "a" * 9001, "b " * 5, "ab ab", ""]
+    raw = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t) for t in texts)])
+    words, begins = word_hashes(np.frombuffer(raw, np.uint8), offsets)
+    assert np.diff(begins).tolist() == [1, 1, 5, 2, 0] and len(Counter(words.tolist())) == 4
+
+
+@pytest.mark.parametrize("native", ["op2_preference_chat", "op3_sharding", "op6_decontamination", "op10_pii"])
+def test_native_plans_have_no_python(spark, data, native):
+    plan = entries.QUERIES[native](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
