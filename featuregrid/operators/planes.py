@@ -31,7 +31,8 @@ def to_planes(pixels: DataFrame, values: list[str], key: str = "image_id") -> Da
     """One row for each image with its h, w and a plane for each of ``values``."""
     cells = F.sort_array(F.collect_list(F.struct("y", "x", *values)))
     rows = pixels.groupBy(key).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), cells.alias("cells"))
-    return rows.select(key, "h", "w", *[F.transform("cells", lambda c, v=v: c[v]).alias(v) for v in values])
+    plane = lambda name: F.transform("cells", lambda c: c[name]).alias(name)
+    return rows.select(key, "h", "w", *map(plane, values))
 
 
 def reflect(i: Column, n: int) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, kernels, scalar, weights
-from ..operators import clustering, evaluation, features, matching, metrics, planes, raster, regions, report, stats
+from ..operators import clustering, evaluation, features, matching, metrics, planes, raster, regions, report, segmentation, stats
 from ..sources import files
 from . import fixtures as fx
 from .fixtures import DIMS, SIDE
@@ -725,3 +725,23 @@ def pca_explained(spark, d):
 @query("select vec_id as id from embeddings order by md5(cast(vec_id as varchar)), vec_id limit (select least(greatest(1, cast(floor(0.07 * count(*)) as bigint)), 12000, count(*)) from embeddings)")
 def sample_fixed_size(spark, d):
     return clustering.sample_fixed(fx.vectors(spark, d), "id").select("id")
+
+
+# Whole segmentations
+
+
+def _segmented(spark, d, run):
+    pixels = fx.color_pixels(spark, d)
+    whole = pixels.groupBy("image_id").agg(F.count("*").alias("c")).where(f"c = {H * W}").select("image_id")
+    images = planes.to_planes(pixels.join(whole, "image_id"), ["r", "g", "b"]).select("image_id", "r", "g", "b")
+    return segmentation.segment(images, H, W, run).select("image_id", "h", "w", F.size(F.array_distinct("labels")).alias("n_labels"), F.size("cleaned").alias("n_pixels"))
+
+
+@query()
+def segment_kmeans(spark, d):
+    return _segmented(spark, d, segmentation.Run("rgb_xy", "kmeans", min_area=3))
+
+
+@query()
+def segment_mean_shift_half_pca(spark, d):
+    return _segmented(spark, d, segmentation.Run("lab_xy", "mean shift", "4", bandwidth=1.5, min_area=2))

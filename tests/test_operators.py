@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featuregrid.functions import color, kernels, scalar
-from featuregrid.operators import clustering, evaluation, features, matching, metrics, planes, raster, regions, report, stats
+from featuregrid.operators import clustering, evaluation, features, matching, metrics, planes, raster, regions, report, segmentation, stats
 from featuregrid.sources import files, sinks
 
 
@@ -222,6 +222,19 @@ def test_mean_shift_finds_two_hills(spark):
         stats.neighbour_distance(df.limit(3), 3)
 
 
+@pytest.mark.parametrize("run", [segmentation.Run("rgb", "kmeans", k=2, min_area=2), segmentation.Run("rgb", "mean shift", "2", bandwidth=0.8, min_area=1), segmentation.Run("lab_xy", "mean shift", "4", bandwidth=1.2, min_area=1), segmentation.Run("rgb", "mean shift", "1", bandwidth=0.8, min_area=2)])
+def test_segmentation_splits_two_halves(spark, run):
+    """Left half dark, right half bright; one odd pixel is cleaned away."""
+    plane = [[20] * 8 + [230] * 8 for _ in range(16)]
+    flat = [v for line in plane for v in line]
+    images = spark.createDataFrame([("a", flat, flat, flat), ("b", flat, flat, flat)], "image_id string, r array<int>, g array<int>, b array<int>")
+    for row in segmentation.segment(images, 16, 16, run).collect():
+        got = np.array(row["cleaned"]).reshape(row["h"], row["w"])
+        half = row["w"] // 2
+        assert not set(got[:, :half].ravel()) & set(got[:, half:].ravel())
+        assert row["h"] == {"2": 4, "4": 8}.get(run.mode, 16) or run.algorithm == "kmeans"
+
+
 def test_pca_keeps_the_variance_asked_for(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(200, 1)) * 10 + 3
