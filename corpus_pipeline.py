@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featuregrid.llm import byte_bpe, decontamination, factorisation, minhash_dedup, pii
-from featuregrid.llm.common import Workspace, table
+from featuregrid.llm.common import Workspace, broadcast_if_small, table
+
+#: Ids of removed documents are broadcast up to so many rows, and shuffled beyond.
+BROADCAST_ROWS = 500_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,11 +26,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the least
     id. Documents without words or without an id are in no group. Repeated rows count as copies."""
+    work = Workspace(spark, "near-dedup")
     verdicts = minhash_dedup.near_duplicates(docs, Workspace(spark, "minhash"))
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("__kept"))
-    counted = kept.groupBy("__kept").count()
-    out = docs.join(counted, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    if counted.where("count > 1 and __kept is not null").isEmpty():
+    ids = verdicts.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.sum(F.col("kept").cast("long")).alias("n"))
+    ids = work.save(ids.where("not kept or n > 1"))
+    gone = ids.where("not kept").select(F.col("doc_id").alias("__gone"))
+    out = docs.join(broadcast_if_small(gone, BROADCAST_ROWS), F.col("doc_id") == F.col("__gone"), "left_anti")
+    if ids.where("n > 1").isEmpty():
         return out
     named = out.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
     return named.unionByName(out.where("doc_id is null"))
@@ -37,9 +42,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents without more than a few words of benchmark passages."""
     key = lambda: F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     found = decontamination.contamination(docs.select(key().alias("doc"), "text"), table(spark, sf_dir, "benchmark"), Workspace(spark, "decontamination"), id_col="doc")
-    bad = found.where(decontamination.is_contaminated()).select("doc.doc_id", "doc.text_hash").distinct().toDF("__id", "__hash")
+    bad = found.where(decontamination.is_contaminated()).select("doc.doc_id", "doc.text_hash").distinct()
+    bad = Workspace(spark, "contaminated").save(bad.toDF("__id", "__hash"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
-    return docs.join(bad, same, "left_anti")
+    return docs.join(broadcast_if_small(bad, BROADCAST_ROWS), same, "left_anti")
 
 
 def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, map_arrow, table
+from .common import Workspace, broadcast_if_small, map_arrow, table
 from .components import connected_components
 
 #: Bands and rows of each: a pair of similarity 0.8 shares no band with probability 5e-6.
@@ -29,6 +29,8 @@ BANDS, ROWS = 52, 7
 SLACK = 5.5
 #: Rows of one side of a block.
 BLOCK = 512
+#: Buckets and node ids (a few integers each) are broadcast up to so many rows, and shuffled beyond.
+BROADCAST_ROWS = 500_000
 #: Texts handled at once, in shingles.
 CHUNK = 1 << 18
 
@@ -91,7 +93,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int) -> DataF
         return work
 
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(slim, ["id", "text"], "id long, n_shingles long, class binary, signature binary, bands array<long>", make, batch_bytes=2 << 20)
+    return map_arrow(slim, ["id", "text"], "id long, n_shingles long, class binary, signature binary, bands array<long>", make, batch_bytes=1 << 19)
 
 
 def _agreement_floor(threshold: float) -> int:
@@ -255,15 +257,17 @@ def near_duplicates(df: DataFrame, work: Workspace, id_col: str = "doc_id", text
     """
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = work.save(fingerprints(slim, "id", "text", width))
-    classes = prints.where("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("node"))
-    chosen = prints.alias("p").join(classes.alias("c"), (F.col("p.class") == F.col("c.class")) & (F.col("p.id") == F.col("c.node")))
-    nodes = work.save(chosen.select("node", F.col("n_shingles").alias("n"), "signature", "bands").dropDuplicates(["node", "n", "signature"]))
+    # One row for each class: equal sets have equal signatures, so any row's will do.
+    same = prints.where("class is not null and id is not null").groupBy("class")
+    nodes = work.save(same.agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
+    classes = nodes.select("class", "node")
 
     # First round: every bucket's members against its least.
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    heads = buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1")
-    joined = work.save(buckets.join(heads, "bucket"))
-    texts = slim.where("id is not null").select(F.col("id").alias("node"), "text").join(joined.select("node").distinct(), "node")
+    heads = work.save(buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1"))
+    joined = work.save(buckets.join(broadcast_if_small(heads, BROADCAST_ROWS), "bucket"))
+    met = work.save(joined.select("node").distinct())
+    texts = slim.where("id is not null").select(F.col("id").alias("node"), "text").join(broadcast_if_small(met, BROADCAST_ROWS), "node")
     texts = work.save(texts)
     star = joined.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
     linked = work.save(confirmed(_passing(star, nodes, percent), texts, width, percent))
@@ -277,7 +281,7 @@ def near_duplicates(df: DataFrame, work: Workspace, id_col: str = "doc_id", text
     rows = placed.join(open_buckets, "bucket")
     rows = rows.select("bucket", "node", "component", "n", (outer == 1).alias("is_outside"), F.ceil(F.col("members") / BLOCK).cast("int").alias("m"), F.ceil(F.col("outside") / BLOCK).cast("int").alias("o"))
     rows = work.save(rows)
-    full = rows.join(nodes, ["node", "n"]).join(texts, "node")
+    full = rows.join(nodes.drop("class"), ["node", "n"]).join(texts, "node")
     salt = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
     carried = ["node", "component", "n", "signature", "bands", "text"]
     inner = full.select("bucket", F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("i"), (salt % F.col("m")).alias("j"), F.lit(False).alias("outside"), *carried)
@@ -291,7 +295,7 @@ def near_duplicates(df: DataFrame, work: Workspace, id_col: str = "doc_id", text
     alone = prints.where("class is null or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     out = known.union(alone)
     out = work.save(out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))))
-    work.drop(joined, texts, rows, nodes, linked, more, prints)
+    work.drop(heads, joined, met, texts, rows, nodes, linked, more, prints)
     return out.withColumnRenamed("id", id_col)
 
 
