@@ -38,7 +38,7 @@ class Workspace:
         self._n = 0
         self._paths: dict[int, str] = {}
 
-    def save(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+    def save(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}"
         df.write.option("compression", codec).parquet(path)
@@ -55,6 +55,20 @@ class Workspace:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of one Arrow batch between the JVM and Python at most.
+ARROW_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches to ``ARROW_BYTES`` if it is higher, so that batches
+    of long texts take bounded memory on both sides. It counts when a plan runs, so it stays; a
+    bound that was set with a unit, such as 32m, is left alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if now.isdigit() and int(now) > ARROW_BYTES:
+        spark.conf.set(key, ARROW_BYTES)
+
+
 def release_memory() -> None:
     """Hand freed memory of a Python worker back, since idle workers stay beside the next stages."""
     import ctypes
@@ -88,6 +102,7 @@ def map_arrow(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
             del batch
         release_memory()
 
+    bound_batches(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 

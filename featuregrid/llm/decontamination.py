@@ -124,7 +124,10 @@ def contamination(docs: DataFrame, bench: DataFrame, work: Workspace, id_col: st
     )
     merged = merged.select("row", covered.alias("n_hit"), "items", "near_items")
     none = F.array().cast("array<string>")
-    return corpus.select("row", "id", "n_words").join(merged, "row", "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
+    out = corpus.select("row", "id", "n_words").join(merged, "row", "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
+    out = work.save(out)
+    work.drop(corpus, items, counts, windows, anchors, postings, candidates)
+    return out
 
 
 def is_contaminated() -> Column:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, release_memory, table
+from .common import bound_batches, map_arrow, release_memory, table
 
 #: Labelled rows that a fit uses at most, chosen by a hash of the id.
 TRAIN_ROWS = 6000
@@ -217,6 +217,7 @@ def score_documents(docs: DataFrame, model: Machine, text_col: str = "text", cha
         release_memory()
         return pa.array(np.concatenate(out) if out else [], pa.float64())
 
+    bound_batches(docs.sparkSession)
     return docs.withColumn(out_col, score(F.col(text_col), F.col(chars_col).cast("long")))
 
 
