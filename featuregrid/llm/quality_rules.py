@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, map_arrow, table
 
 #: Ratios, each with the least spread (in thousandths) that its quartiles are taken to have.
-SPREADS = {"length": 500, "symbols": 50, "dup_lines": 130, "repeats": 65}
+SPREADS = {"length": 500, "symbols": 50, "dup_lines": 130, "repeats": 68}
 #: Fences lie so many spreads beyond the quartiles.
 FENCE = 3
 #: Documents a group needs for fences of its own.
@@ -92,7 +92,7 @@ def text_statistics(df: DataFrame, keep: list[str], text_col: str = "text") -> D
 
     kinds = dict(df.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"{x} long" for x in names])
-    return map_arrow(df, [*keep, text_col], schema, make, batch_bytes=2 << 20)
+    return map_arrow(df, [*keep, text_col], schema, make, batch_bytes=1 << 19)
 
 
 def _ratios() -> dict[str, Column]:
