@@ -1,6 +1,7 @@
 """Licence scans by conditional compression.
 
-Lines near a keyword form candidate blocks. Each block is compressed alone and with every
+The words around a keyword, whatever the lines they stand on, form candidate blocks that reach
+beyond it on both sides by more than the longest template. Each block is compressed alone and with every
 template as a raw zstandard dictionary; the bytes that a template saves, against those it
 could save, rank the templates. The best are confirmed by their exact wording: a short
 notice must occur word by word, a long one may lose few words, and none that tells licences
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import map_arrow, table
 from .license_templates import KEYWORDS, TEMPLATES
 
-#: Lines between keyword lines of one block; words on either side of a keyword in longer lines.
-GAP, AROUND = 6, 250
+#: Words of a block on either side of a keyword, in hundredths of the longest template's words. The
+#: rest is for words between those of a notice, such as comment leaders of wrapped lines.
+AROUND = 150
 #: Least share of a template's own saving for a candidate.
 LEAST_SAVING = 0.2
 #: Templates that can save fewer bytes are too short to rank, and are all confirmed by wording.
@@ -27,12 +30,20 @@ LEAST_BYTES = 12
 #: Templates of up to so many words must occur word by word; longer ones may miss this share.
 SHORT, MISSING = 20, 0.08
 
-_WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
+# Hyphens part words, since a line may be wrapped behind one.
+_WORD = re.compile(r"[a-z0-9]+(?:\.[a-z0-9]+)*")
+_KEYWORD = re.compile("|".join(map(re.escape, KEYWORDS)))
 _TELLING = re.compile(r"\d|^(?:mit|apache|bsd|isc|gnu|lesser|affero|mozilla|neither|cc|sa|nc|nd)$")
 
 
+def _lower(text: str) -> str:
+    """Lower case of the same length; the few letters that change theirs stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(_lower(text))
 
 
 class Scanner:
@@ -53,6 +64,7 @@ class Scanner:
             informed = squeezer(raw)
             own = len(self.plain.compress(raw)) - len(informed.compress(raw))
             self.templates.append((name, words, informed, max(own, 1)))
+        self.around = AROUND * max(len(words) for _, words, _, _ in self.templates) // 100
         # The longer wordings of other licences that contain a template whole.
         longer = lambda k, j: len(self.templates[j][1]) > len(self.templates[k][1]) and self.templates[j][0] != self.templates[k][0]
         every = range(len(self.templates))
@@ -94,53 +106,30 @@ class Scanner:
         return sorted((name, share, lost) for name, (_, share, lost) in best.items())
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
-        """Spans (code points) of candidate blocks: lines, or words around keywords in long lines."""
-        low = text.lower()
-        if len(low) != len(text):  # a few letters change their length
-            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        if not any(k in low for k in KEYWORDS):
+        """Spans (code points) of candidate blocks: all words within ``around`` of a keyword."""
+        low = _lower(text)
+        if not any(all(part in low for part in k.split()) for k in KEYWORDS):
             return []
-        spans, at = [], 0
-        for number, line in enumerate(low.split("\n")):
-            if any(k in line for k in KEYWORDS):
-                for a, b in _windows(line, _places(line)):
-                    if spans and (number - spans[-1][2] <= GAP and spans[-1][2] != number):
-                        spans[-1] = (spans[-1][0], at + b, number)
-                    else:
-                        spans.append((at + a, at + b, number))
-            at += len(line) + 1
-        return [(a, b) for a, b, _ in spans]
+        spans = [m.span() for m in _WORD.finditer(low)]
+        begins, at = [], 0
+        for a, b in spans:
+            begins.append(at)
+            at += b - a + 1
+        out: list[tuple[int, int]] = []
+        for m in _KEYWORD.finditer(" ".join(low[a:b] for a, b in spans)):
+            i = bisect_right(begins, m.start()) - 1
+            a, b = max(0, i - self.around), min(len(spans), i + self.around + 1)
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+        return [(spans[a][0], spans[b - 1][1]) for a, b in out]
 
     def scan(self, text: str) -> list[tuple[int, int, str, float, int]]:
         """(start, end, licence, share, missing) of every confirmed licence of a text."""
         return [(a, b, *hit) for a, b in self.blocks(text) for hit in self.confirmed(words_of(text[a:b]))]
 
 
-def _places(line: str) -> list[int]:
-    found = []
-    for k in KEYWORDS:
-        i = line.find(k)
-        while i >= 0:
-            found.append(i)
-            i = line.find(k, i + 1)
-    return sorted(found)
-
-
-def _windows(line: str, hits: list[int]) -> list[tuple[int, int]]:
-    """The whole line if it is short, else stretches around its keywords, merged where they meet."""
-    reach = AROUND * 8
-    if len(line) <= 2 * reach:
-        return [(0, len(line))]
-    out: list[tuple[int, int]] = []
-    for h in hits:
-        a, b = max(0, h - reach), min(len(line), h + reach)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
-
-
 @functools.lru_cache(maxsize=1)
 def scanner() -> Scanner:
     """One scanner in each Python worker."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -319,6 +320,25 @@ def test_license_scan_of_documents(spark, data, odd, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def whole_text_licenses(scan, text):
+    """Licences of a text by every wording on all of its words, without blocks or ranking."""
+    words = license_scan.words_of(text)
+    hits = {k for k in range(len(TEMPLATES)) if scan.missing(words, k) is not None}
+    return {TEMPLATES[k][0] for k in hits if not scan.inside[k] & hits}
+
+
+@pytest.mark.parametrize("leader", ["", " * ", "# ", "dnl "])
+def test_wrapped_licenses(leader):
+    """A notice is found however its lines are wrapped, wherever its keywords stand."""
+    scan = license_scan.scanner()
+    for name, wording in TEMPLATES:
+        for width in (20, 60, 78, 120) if leader != "dnl " or len(wording) > 200 else ():
+            lines = textwrap.wrap(wording, width)
+            text = "\n".join(["int before;"] * 20 + [leader + x for x in lines] + ["int after;"] * 20)
+            found = {x[2] for x in scan.scan(text)}
+            assert found == whole_text_licenses(scan, text) == {name}, (name, width)
+
+
 # Quality rules
 
 
