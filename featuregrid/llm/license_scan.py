@@ -1,11 +1,11 @@
 """Licence scans by conditional compression.
 
 The words around a keyword, whatever the lines they stand on, form candidate blocks that reach
-beyond it on both sides by more than the longest template. Each block is compressed alone and with every
-template as a raw zstandard dictionary; the bytes that a template saves, against those it
-could save, rank the templates. The best are confirmed by their exact wording: a short
-notice must occur word by word, a long one may lose few words, and none that tells licences
-apart.
+beyond it on both sides by more than the longest template. Blocks are read in slices of bounded
+length that overlap by as much. Each slice is compressed alone and with templates as raw
+zstandard dictionaries; the bytes that a template saves, against those it could save, rank the
+templates. All whose words the slice has are confirmed by their exact wording: a short notice
+must occur word by word, a long one may lose few words, and none that tells licences apart.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import re
 from bisect import bisect_right
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,8 @@ from .license_templates import KEYWORDS, TEMPLATES
 #: Words of a block on either side of a keyword, in hundredths of the longest template's words. The
 #: rest is for words between those of a notice, such as comment leaders of wrapped lines.
 AROUND = 150
-#: Least share of a template's own saving for a candidate.
-LEAST_SAVING = 0.2
-#: Templates that can save fewer bytes are too short to rank, and are all confirmed by wording.
-LEAST_BYTES = 12
+#: Characters of a word that a slice keeps; no template has one as long.
+LONGEST_WORD = 64
 #: Templates of up to so many words must occur word by word; longer ones may miss this share.
 SHORT, MISSING = 20, 0.08
 
@@ -65,45 +64,84 @@ class Scanner:
             own = len(self.plain.compress(raw)) - len(informed.compress(raw))
             self.templates.append((name, words, informed, max(own, 1)))
         self.around = AROUND * max(len(words) for _, words, _, _ in self.templates) // 100
+        self.needs = [Counter(words) for _, words, _, _ in self.templates]
+        self.may_lose = [0 if len(words) <= SHORT else int(MISSING * len(words)) for _, words, _, _ in self.templates]
         # The longer wordings of other licences that contain a template whole.
         longer = lambda k, j: len(self.templates[j][1]) > len(self.templates[k][1]) and self.templates[j][0] != self.templates[k][0]
         every = range(len(self.templates))
         self.inside = [{j for j in every if longer(k, j) and self.missing(self.templates[j][1], k) is not None} for k in every]
 
-    def ranked(self, block: list[str]) -> list[tuple[float, int]]:
-        """(share of the template's saving, template), best first, among those worth confirming."""
-        raw = " ".join(block).encode()
+    def possible(self, words: list[str]) -> list[int]:
+        """Templates that lack no more words than they may, in whatever order; ``missing`` refuses all others."""
+        have = Counter(words)
+        out = []
+        for k, need in enumerate(self.needs):
+            lost = {w: n - have[w] for w, n in need.items() if n > have[w]}
+            if sum(lost.values()) <= self.may_lose[k] and not any(map(_TELLING.search, lost)):
+                out.append(k)
+        return out
+
+    def ranked(self, words: list[str]) -> list[tuple[float, int]]:
+        """(share of the template's saving, template), best first, among those whose words are there."""
+        found = self.possible(words)
+        if not found:
+            return []
+        raw = " ".join(w[:LONGEST_WORD] for w in words).encode()
         alone = len(self.plain.compress(raw))
-        shares = [(min((alone - len(informed.compress(raw))) / own, 1.0), -k) for k, (_, _, informed, own) in enumerate(self.templates)]
-        return [(s, -k) for s, k in sorted(shares, reverse=True) if s >= LEAST_SAVING or self.templates[-k][3] < LEAST_BYTES]
+        shares = [(max(min((alone - len(informed.compress(raw))) / own, 1.0), 0.0), -k) for k in found for _, _, informed, own in [self.templates[k]]]
+        return [(s, -k) for s, k in sorted(shares, reverse=True)]
 
-    def missing(self, block: list[str], k: int) -> int | None:
-        """Words of template k that the block lacks, or None if it is another wording."""
+    def place(self, block: list[str], k: int) -> tuple[int, int, int] | None:
+        """First word, end and words missing of template k in a block, or None if it is another wording."""
         from difflib import SequenceMatcher
 
         words = self.templates[k][1]
         n = len(words)
         if n <= SHORT:
             first = words[0]
-            hit = any(w == first and block[i : i + n] == words for i, w in enumerate(block))
-            return 0 if hit else None
-        pieces = SequenceMatcher(None, words, block, autojunk=False).get_matching_blocks()
+            return next(((i, i + n, 0) for i, w in enumerate(block) if w == first and block[i : i + n] == words), None)
+        pieces = [p for p in SequenceMatcher(None, words, block, autojunk=False).get_matching_blocks() if p.size]
         kept = set()
         for p in pieces:
             kept.update(range(p.a, p.a + p.size))
         lost = [words[i] for i in range(n) if i not in kept]
-        return len(lost) if len(lost) <= MISSING * n and not any(map(_TELLING.search, lost)) else None
-
-    def confirmed(self, block: list[str]) -> list[tuple[str, float, int]]:
-        """Licences of a block with the share saved and the words missing; a licence counts once,
-        and a template that is part of another confirmed one counts for nothing of its own."""
-        hits = {k: (share, lost) for share, k in self.ranked(block) if (lost := self.missing(block, k)) is not None}
-        best: dict[str, tuple[int, float, int]] = {}
-        for k, (share, lost) in hits.items():
-            if not self.inside[k] & hits.keys():
-                name, size = self.templates[k][0], len(self.templates[k][1])
-                best[name] = max(best.get(name, (0, 0.0, 0)), (size, share, lost))
-        return sorted((name, share, lost) for name, (_, share, lost) in best.items())
+        if len(lost) > MISSING * n or any(map(_TELLING.search, lost)):
+            return None
+        return pieces[0].b, pieces[-1].b + pieces[-1].size, len(lost)
+
+    def missing(self, block: list[str], k: int) -> int | None:
+        """Words of template k that the block lacks, or None if it is another wording."""
+        found = self.place(block, k)
+        return found and found[2]
+
+    def places(self, words: list[str], k: int) -> list[tuple[int, int, int]]:
+        """Every place of template k: the one found first, and those before and behind it."""
+        out, todo = [], [(0, len(words))]
+        while todo:
+            a, b = todo.pop()
+            if b - a >= len(self.templates[k][1]) - self.may_lose[k] and (found := self.place(words[a:b], k)):
+                i, j, lost = found
+                out.append((a + i, a + j, lost))
+                todo += [(a, a + i), (a + j, b)]
+        return out
+
+    def confirmed(self, words: list[str]) -> list[tuple[int, int, str, float, int]]:
+        """Licences of a block: first word, end, name, share saved and words missing. Where places
+        overlap, a licence counts once, by its longest wording, and a template that is part of
+        another one counts for nothing of its own."""
+        hits: dict[tuple[int, int, int], tuple[float, int]] = {}
+        for at in range(0, max(1, len(words) - self.around), self.around):
+            part = words[at : at + 2 * self.around]
+            for share, k in self.ranked(part):
+                for a, b, lost in self.places(part, k):
+                    hits[k, at + a, at + b] = max(hits.get((k, at + a, at + b), (0.0, lost)), (share, lost))
+        best = sorted((-len(self.templates[k][1]), lost, a, b, k, share) for (k, a, b), (share, lost) in hits.items())
+        out: list[tuple[int, int, int, float, int]] = []
+        for _, lost, a, b, k, share in best:
+            name = self.templates[k][0]
+            if not any(a < y and x < b and (self.templates[j][0] == name or j in self.inside[k]) for x, y, j, _, _ in out):
+                out.append((a, b, k, share, lost))
+        return sorted((a, b, self.templates[k][0], share, lost) for a, b, k, share, lost in out)
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
         """Spans (code points) of candidate blocks: all words within ``around`` of a keyword."""
@@ -127,7 +165,11 @@ class Scanner:
 
     def scan(self, text: str) -> list[tuple[int, int, str, float, int]]:
         """(start, end, licence, share, missing) of every confirmed licence of a text."""
-        return [(a, b, *hit) for a, b in self.blocks(text) for hit in self.confirmed(words_of(text[a:b]))]
+        out = []
+        for a, b in self.blocks(text):
+            spans = [m.span() for m in _WORD.finditer(_lower(text[a:b]))]
+            out += [(a + spans[i][0], a + spans[j - 1][1], *hit) for i, j, *hit in self.confirmed(words_of(text[a:b]))]
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -139,8 +181,8 @@ def scanner() -> Scanner:
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_blocks, matches`` of each row; matches holds (start, end, license, saving, missing).
 
-    A null or empty text has no blocks. Positions are code points, the end exclusive; saving is
-    the share of the template's own saving in thousandths. Equal rows give equal rows; other
+    A null or empty text has no blocks. Positions are code points from the first word of the
+    notice, the end exclusive; saving is the share of the template's own saving in thousandths. Equal rows give equal rows; other
     columns are not read.
     """
     kind = dict(df.dtypes)[id_col]

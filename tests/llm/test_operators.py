@@ -339,6 +339,22 @@ def test_wrapped_licenses(leader):
             assert found == whole_text_licenses(scan, text) == {name}, (name, width)
 
 
+def test_licenses_of_long_blocks():
+    """A notice among thousands of words with keywords all along is found, each time it stands there."""
+    scan = license_scan.scanner()
+    rng = random.Random(3)
+    filler = lambda n: " ".join("license" if i % 50 == 7 else "".join(rng.choice("abcdefghij") for _ in range(6)) for i in range(n))
+    for name, wording in TEMPLATES:
+        text = f"{filler(1500)} {wording} {filler(1500)} {wording} {filler(300)}"
+        assert len(scan.blocks(text)) == 1
+        at = [m.start() for m in re.finditer(re.escape(wording), text)]
+        want = [(i, i + len(wording.rstrip("/.")), name, 0) for i in at]
+        assert [(a, b, n, lost) for a, b, n, _, lost in scan.scan(text)] == want, name
+    bsd2, bsd3 = (max((w for n, w in TEMPLATES if n == x), key=len) for x in ("BSD-2-Clause", "BSD-3-Clause"))
+    text = f"{filler(900)} {bsd3} {filler(900)} {bsd2} {filler(900)}"
+    assert [x[2] for x in scan.scan(text)] == ["BSD-3-Clause", "BSD-2-Clause"]
+
+
 # Quality rules
 
 
