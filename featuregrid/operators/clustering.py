@@ -1,11 +1,15 @@
 """Clustering of vectors: k-means, kernel and flat mean shift, and the merging of modes.
 
-Centres and samples are small, of a stated bound, and travel as literals or with the function;
-the vectors themselves never leave their partitions except into partial aggregates.
+Centres are small and travel as literals. The points of a kernel estimate travel with the function
+up to a stated bound; beyond it they are all read in blocks from the shared folder, and the partial
+weights of the blocks are summed. The vectors that climb never leave their partitions.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +17,10 @@ from pyspark.sql import functions as F
 from ..functions.weights import dist2
 from .planes import once
 
-#: Points that a kernel estimate is made over at most, and the share that is sampled.
+#: Points that are sampled at most, and the share; up to so many travel with a function.
 MAX_SAMPLES, SAMPLE_RATIO = 12_000, 0.07
+#: Points of a block beyond that, and rows that climb together.
+BLOCK, TOGETHER, TOGETHER_BLOCKS = 2048, 256, 2048
 
 
 def literal(vectors) -> Column:
@@ -90,30 +96,55 @@ def _bounded(sample: DataFrame, col: str) -> np.ndarray:
     return np.array([r[0] for r in rows], float)
 
 
+def _blocks(sample: DataFrame, col: str) -> tuple[Callable[[], Iterable[np.ndarray]], int]:
+    """All vectors of ``sample`` as a function that passes once over them in blocks, and the rows
+    that should share a pass. Up to MAX_SAMPLES rows are one block in the function; more are
+    written to the shared folder and read from there, block by block, in every pass."""
+    rows = sample.select(col).limit(MAX_SAMPLES + 1).collect()
+    if len(rows) <= MAX_SAMPLES:
+        points = np.array([r[0] for r in rows], float)
+        return lambda: [points], TOGETHER
+    spark = sample.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "/tmp/checkpoints"
+    path = f"{root.rstrip('/')}/points-{uuid.uuid4().hex}"
+    sample.select(F.col(col).cast("array<double>").alias("p")).write.parquet(path)
+
+    def read():
+        import pyarrow.dataset
+
+        for batch in pyarrow.dataset.dataset(path, format="parquet").to_batches(columns=["p"], batch_size=BLOCK):
+            if batch.num_rows:
+                yield batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+    return read, TOGETHER_BLOCKS
+
+
 def _kernel(kind: str, d2: np.ndarray, h: float) -> np.ndarray:
     if kind == "gaussian":
         return np.where(d2 > (3 * h) ** 2, 0.0, np.exp(-d2 / (2 * h * h)))
     return np.maximum(0.0, 1 - d2 / (h * h))
 
 
-def shift_points(points: np.ndarray, sample: np.ndarray, h: float, kind: str, max_iter: int = 30, threshold: float = 1e-3) -> np.ndarray:
-    """Each point moved to the weighted mean of the sample around it, until it moves less than
+def shift_points(points: np.ndarray, blocks: Callable[[], Iterable[np.ndarray]], h: float, kind: str, max_iter: int = 30, threshold: float = 1e-3) -> np.ndarray:
+    """Each point moved to the weighted mean of all blocks around it, until it moves less than
     ``threshold``, no weight is left, or ``max_iter`` rounds are over."""
     points = points.copy()
     live = np.arange(len(points))
-    squares = (sample**2).sum(1)
     for _ in range(max_iter):
         if not len(live):
             break
         here = points[live]
-        if len(sample) * sample.shape[1] * len(live) <= 2_000_000:
-            d2 = ((here[:, None, :] - sample[None, :, :]) ** 2).sum(2)
-        else:
-            d2 = np.maximum((here**2).sum(1)[:, None] + squares[None, :] - 2 * here @ sample.T, 0)
-        weight = _kernel(kind, d2, h)
-        total = weight.sum(1)
+        total, sums = np.zeros(len(live)), np.zeros_like(here)
+        for block in blocks():
+            if block.size * len(live) <= 2_000_000:
+                d2 = ((here[:, None, :] - block[None, :, :]) ** 2).sum(2)
+            else:
+                d2 = np.maximum((here**2).sum(1)[:, None] + (block**2).sum(1)[None, :] - 2 * here @ block.T, 0)
+            weight = _kernel(kind, d2, h)
+            total += weight.sum(1)
+            sums += weight @ block
         moving = total > 1e-12
-        fresh = weight[moving] @ sample / total[moving, None]
+        fresh = sums[moving] / total[moving, None]
         step = np.linalg.norm(fresh - here[moving], axis=1)
         points[live[moving]] = fresh
         live = live[moving][step >= threshold]
@@ -121,8 +152,8 @@ def shift_points(points: np.ndarray, sample: np.ndarray, h: float, kind: str, ma
 
 
 def mean_shift(df: DataFrame, sample: DataFrame, h: float, kind: str, max_iter: int = 30, threshold: float | None = None, col: str = "features", out: str = "mode") -> DataFrame:
-    """``df`` with the mode that every row climbs to over a bounded sample (0.01 h ends a climb)."""
-    points = _bounded(sample, col)
+    """``df`` with the mode that every row climbs to over all rows of a sample (0.01 h ends a climb)."""
+    points, together = _blocks(sample, col)
     stop = 0.01 * h if threshold is None else threshold
     columns = df.columns
     at = columns.index(col)
@@ -131,8 +162,8 @@ def mean_shift(df: DataFrame, sample: DataFrame, h: float, kind: str, max_iter:
         import pyarrow as pa
 
         for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
+            for s in range(0, batch.num_rows, together):
+                part = batch.slice(s, together)
                 moved = shift_points(np.array(part.column(at).to_pylist(), float), points, h, kind, max_iter, stop)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(moved.tolist(), pa.list_(pa.float64()))], names=[*columns, out])
 
@@ -173,48 +204,58 @@ def bin_seeds(df: DataFrame, h: float, col: str = "features") -> DataFrame:
     return df.groupBy(F.transform(col, lambda v: F.rint(v / h)).alias("bin")).agg(F.count("*").alias("n")).select(F.transform("bin", lambda b: b * h).alias("seed"), "n")
 
 
+def climb_flat(seeds: np.ndarray, blocks: Callable[[], Iterable[np.ndarray]], h: float, max_iter: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Where seeds end that climb to the mean of all points within h, and their points there;
+    seeds without points are left out."""
+    seeds = seeds.copy()
+    counts = np.zeros(len(seeds), np.int64)
+    live = np.arange(len(seeds))
+    for _ in range(max_iter):
+        if not len(live):
+            break
+        sums = np.zeros((len(live), seeds.shape[1]))
+        counts[live] = 0
+        for block in blocks():
+            for at, k in enumerate(live):
+                near = block[((block - seeds[k]) ** 2).sum(1) <= h * h]
+                counts[k] += len(near)
+                sums[at] += near.sum(0)
+        there = counts[live] > 0
+        live, fresh = live[there], sums[there] / counts[live[there], None]
+        moved = np.linalg.norm(fresh - seeds[live], axis=1)
+        seeds[live] = fresh
+        live = live[moved > 1e-3 * h]
+    return seeds[counts > 0], counts[counts > 0]
+
+
 def flat_mean_shift(df: DataFrame, sample: DataFrame, h: float, max_iter: int = 100, col: str = "features") -> tuple[np.ndarray, DataFrame]:
-    """Flat-kernel mean shift with binned seeds over a bounded sample: centres, and ``df`` with
+    """Flat-kernel mean shift with binned seeds over all rows of a sample: centres, and ``df`` with
     every row's nearest centre.
 
     Seeds climb to the mean of points within h until they move at most 1e-3 h; without points a
     seed goes. Centres are taken by falling count of points, then value; one within h of a
     taken centre goes.
     """
-    points = _bounded(sample, col)
+    points, together = _blocks(sample, col)
     seeds = bin_seeds(sample, h, col)
-    n_seeds = seeds.count()
-    starts = sample.select(F.col(col).alias("seed")) if n_seeds == len(points) else seeds.select("seed")
+    starts = sample.select(F.col(col).alias("seed")) if seeds.count() == sample.count() else seeds.select("seed")
 
     def climb(batches):
         import pyarrow as pa
 
         for batch in batches:
-            centres, counts = [], []
-            for p in batch.column(0).to_pylist():
-                p = np.array(p, float)
-                for _ in range(max_iter):
-                    near = points[((points - p) ** 2).sum(1) <= h * h]
-                    if not len(near):
-                        break
-                    fresh = near.mean(0)
-                    moved = np.linalg.norm(fresh - p)
-                    p = fresh
-                    if moved <= 1e-3 * h:
-                        break
-                if len(near):
-                    centres.append(p.tolist())
-                    counts.append(len(near))
-            yield pa.RecordBatch.from_arrays([pa.array(centres, pa.list_(pa.float64())), pa.array(counts, pa.int64())], names=["centre", "n"])
-
-    found = starts.mapInArrow(climb, "centre array<double>, n long").distinct().orderBy(F.desc("n"), F.desc("centre")).collect()
-    if not found:
-        raise ValueError(f"no seed has points within {h}; choose a larger bandwidth")
+            for s in range(0, batch.num_rows, together):
+                centres, counts = climb_flat(np.array(batch.column(0).slice(s, together).to_pylist(), float), points, h, max_iter)
+                yield pa.RecordBatch.from_arrays([pa.array(centres.tolist(), pa.list_(pa.float64())), pa.array(counts, pa.int64())], names=["centre", "n"])
+
+    found = starts.mapInArrow(climb, "centre array<double>, n long").distinct().orderBy(F.desc("n"), F.desc("centre"))
     kept: list[np.ndarray] = []
-    for r in found:  # at most as many as seeds of a bounded sample
+    for r in found.toLocalIterator():  # a partition at a time: only the centres kept stay
         c = np.array(r["centre"])
         if all(np.linalg.norm(c - k) > h for k in kept):
             kept.append(c)
+    if not kept:
+        raise ValueError(f"no seed has points within {h}; choose a larger bandwidth")
     return np.array(kept), assign(df, kept, col)
 
 

@@ -687,13 +687,13 @@ def mean_shift_seeds(spark, d):
 @query()
 def mean_shift_full(spark, d):
     rows = fx.vectors(spark, d)
-    return clustering.flat_mean_shift(rows, clustering.sample_fixed(rows, "id", 1.0), 1.2)[1].select("id", "cluster")
+    return clustering.flat_mean_shift(rows, rows, 1.2)[1].select("id", "cluster")
 
 
 @query()
 def merge_modes(spark, d):
     rows = fx.vectors(spark, d)
-    modes = clustering.mean_shift(rows, clustering.sample_fixed(rows, "id", 1.0), 0.5, "gaussian")
+    modes = clustering.mean_shift(rows, rows, 0.5, "gaussian")
     return clustering.merge_modes(modes, 0.25, "id").select("center_id", "n")
 
 

@@ -222,6 +222,20 @@ def test_mean_shift_finds_two_hills(spark):
         stats.neighbour_distance(df.limit(3), 3)
 
 
+def test_mean_shift_beyond_the_cap(spark, monkeypatch):
+    """All rows count, whatever their number; blocks give what one array gives."""
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.normal(0, 0.1, (40, 2)), rng.normal(5, 0.1, (40, 2)), [[9.0, 9.0]]])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id int, features array<double>")
+    climbed = lambda kind: [r["mode"] for r in clustering.mean_shift(df, df, 0.5, kind).orderBy("id").collect()]
+    flat = lambda: [r["cluster"] for r in clustering.flat_mean_shift(df, df, 1.0)[1].orderBy("id").collect()]
+    whole = [climbed("gaussian"), climbed("epanechnikov"), flat()]
+    monkeypatch.setattr(clustering, "MAX_SAMPLES", 20)
+    monkeypatch.setattr(clustering, "BLOCK", 7, raising=False)
+    assert np.allclose(climbed("gaussian"), whole[0]) and np.allclose(climbed("epanechnikov"), whole[1])
+    assert flat() == whole[2] and len(set(whole[2])) == 3
+
+
 @pytest.mark.parametrize("run", [segmentation.Run("rgb", "kmeans", k=2, min_area=2), segmentation.Run("rgb", "mean shift", "2", bandwidth=0.8, min_area=1), segmentation.Run("lab_xy", "mean shift", "4", bandwidth=1.2, min_area=1), segmentation.Run("rgb", "mean shift", "1", bandwidth=0.8, min_area=2)])
 def test_segmentation_splits_two_halves(spark, run):
     """Left half dark, right half bright; one odd pixel is cleaned away."""
