@@ -30,7 +30,7 @@ def test_quality_stage(spark, data, docs):
 
 
 def test_near_dedup_stage(spark, data, docs):
-    from test_operators import brute_components
+    from test_llm_operators import brute_components
 
     rows = docs.collect()
     want = {i for i, (_, c) in brute_components([(r["doc_id"], r["text"]) for r in rows], 5).items() if i == c}
