@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in unit tests on one machine.
-FALLBACK_DIR = "/tmp/checkpoints"
+#: Used only by a local session that names no shared folder, as in unit tests on one machine.
+LOCAL_DIR = "/tmp/checkpoints"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -19,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. A cluster must
+    name one; only a local session, whose executors are the driver, has a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return (found or FALLBACK_DIR).rstrip("/")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (found or LOCAL_DIR).rstrip("/")
 
 
 class Workspace:
@@ -36,25 +41,31 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        self._held: list[tuple[DataFrame, str]] = []
 
     def save(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.option("compression", codec).parquet(path)
+        df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._held.append((out, path))
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            path = self._paths.pop(id(df), None)
-            if path:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        """Delete the tables behind these frames, which ``save`` returned."""
+        jvm = self.spark.sparkContext._jvm
+        for path in [p for held, p in self._held if any(held is df for df in frames)]:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self._held = [(held, p) for held, p in self._held if not any(held is df for df in frames)]
 
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Delete all tables but those behind ``kept``."""
+        self.drop(*[held for held, _ in self._held if not any(held is df for df in kept)])
 
+
+#: Bytes of a row group that a Parquet writer holds in memory.
+ROW_GROUP = 16 << 20
 #: Bytes of one Arrow batch between the JVM and Python at most.
 ARROW_BYTES = 8 << 20
 
@@ -108,6 +119,22 @@ def map_arrow(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows; else the plan shuffles it."""
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Rows that a key must have to count as hot; of n rows fewer than n / HOT keys are hot.
+HOT = 500_000
+
+
+def join_by_key(big: DataFrame, small: DataFrame, key: str, size: str, rows: int) -> DataFrame:
+    """``big`` joined on ``key`` to ``small``, which has one row for each key and in ``size`` how many
+    rows of ``big`` bear it (``size`` is in the result).
+
+    A small table of at most ``rows`` rows is broadcast. Beyond, the few hot keys are broadcast and
+    their rows stay where they are; only the rows of other keys are shuffled, at most HOT to a key.
+    """
+    if small.limit(rows + 1).count() <= rows:
+        return big.join(F.broadcast(small), key)
+    hot = small.where(F.col(size) > HOT)
+    rest = big.join(broadcast_if_small(hot.select(key), rows), key, "left_anti")
+    return big.join(broadcast_if_small(hot, rows), key).unionByName(rest.join(small.where(F.col(size) <= HOT), key))

@@ -5,21 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, join_by_key
 
+#: The least neighbours of so many nodes are broadcast; beyond, hot nodes are split off.
+BROADCAST_ROWS = 500_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _large_star(edges: DataFrame, work: Workspace) -> DataFrame:
     """Each larger neighbour of a node is linked to the least of the node and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = work.save(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("u", "m")))
+    moved = join_by_key(both.where("v > u"), least, "u", "degree", BROADCAST_ROWS)
+    out = work.save(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    work.drop(least)
+    return out
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, work: Workspace) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of these; here u > v always."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    least = work.save(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")))
+    moved = join_by_key(edges, least, "u", "degree", BROADCAST_ROWS).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = work.save(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+    work.drop(least)
+    return out
 
 
 def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
@@ -27,18 +35,19 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
 
     ``edges`` has two integer columns ``u`` and ``v``; component is the least node reachable.
     Loops, repeated edges and rows with a null end are ignored; no edges give no rows. Each
-    round is written to the shared folder, and the rounds end when an edge set repeats.
+    round is written to the shared folder, and the rounds end when an edge set repeats. A node with
+    any number of neighbours is no burden to one task (see ``join_by_key``).
     """
     state = edges.where("u is not null and v is not null and u <> v")
     state = work.save(state.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
-        large = work.save(_large_star(state))
-        small = work.save(_small_star(large))
-        work.drop(large, state)
-        state = small
         mark = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if mark[0] == 0 or mark == seen:
             break
         seen = mark
+        large = _large_star(state, work)
+        small = _small_star(large, work)
+        work.drop(large, state)
+        state = small
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(state.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -1,34 +1,42 @@
 """MinHash near-dedup over word shingles.
 
 1. One pass over the texts gives each document its shingle set's size, a 128-bit class of
-   equal sets, a signature of universal hash minima (low bytes) and one key per band.
-2. Classes meet in band buckets. Each bucket links its members to its least one, candidates
-   pass a size bound and signature verification, then the full sets of both texts decide.
-   Alternating stars give components.
-3. Buckets whose members still lie in several components get the rest of their comparisons:
-   members outside the first one's component against all others, in blocks of bounded size,
-   by signature; what passes is confirmed on full sets again. So no group is expanded into
-   all its pairs, and no candidate that could join two components is left unchecked.
+   equal sets, a signature of universal hash minima (low bytes) and one key per band. One node
+   stands for each class.
+2. Nodes meet in band buckets. The members of a bucket are compared with its head, the least one:
+   candidates pass a size bound and signature verification, then the full sets of both texts
+   decide, for each node with its likeliest head first and with others only where that has not
+   joined them. Alternating stars give components. Large buckets whose members still lie in
+   several components get further heads while that joins many of them.
+3. What is left is compared in blocks of bounded size, by signature alone: the members outside the
+   main component of a bucket against all others. A block proposes the likeliest pairs that
+   span its components in so many forests; they are confirmed on full sets, and while a block
+   withholds pairs between components that are still apart, it runs again with more forests.
+   So no group is expanded into all its pairs, no text travels with a bucket, and no candidate
+   that could join two components is left unchecked.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, broadcast_if_small, map_arrow, table
+from .common import Workspace, broadcast_if_small, join_by_key, map_arrow, table
 from .components import connected_components
 
-#: Bands and rows of each: a pair of similarity 0.8 shares no band with probability 5e-6.
-BANDS, ROWS = 52, 7
+#: Bands and rows of each: a pair of similarity 0.8 shares no band with probability 3e-6.
+BANDS, ROWS = 32, 5
 #: Signature agreement may fall so many standard deviations below the threshold.
 SLACK = 5.5
-#: Rows of one side of a block.
-BLOCK = 512
+#: Rows of one side of a block; buckets of more members get further heads first.
+BLOCK = 1024
+#: Forests of proposed pairs in the first pass over blocks, and how many times more in each next pass.
+FORESTS = 4
+#: Pairs that are confirmed beside one copy of their common text.
+CHUNK_PAIRS = 256
 #: Buckets and node ids (a few integers each) are broadcast up to so many rows, and shuffled beyond.
 BROADCAST_ROWS = 500_000
 #: Texts handled at once, in shingles.
@@ -108,7 +116,7 @@ def _sized(a: str, b: str, percent: int) -> str:
 
 
 def agreeing(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v, sig_u, sig_v) whose signatures agree often enough."""
+    """The pairs (u, v, sig_u, sig_v) whose signatures agree often enough, with ``agree``."""
     floor = _agreement_floor(percent / 100)
 
     def run(batches):
@@ -118,46 +126,57 @@ def agreeing(pairs: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            keep = pa.array((a == b).sum(1) >= floor)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+            agree = (a == b).sum(1)
+            keep = pa.array(agree >= floor)
+            yield pa.RecordBatch.from_arrays([x.filter(keep) for x in (batch.column(0), batch.column(1), pa.array(agree, pa.int32()))], names=["u", "v", "agree"])
 
-    return pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long")
+    return pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long, agree int")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets overlap by at least ``percent``.
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, work: Workspace) -> DataFrame:
+    """The pairs (u, v), a saved table, whose full shingle sets overlap by at least ``percent``.
 
-    The texts of both ends, rows (node, text), are joined to the pairs. Sorted by u, the set of
-    a bucket's first member is built once for a run of its pairs.
+    The texts of rows (node, text) of ``docs`` go to the pairs' chunks: the text of u once for each
+    chunk, followed by the texts of at most about ``CHUNK_PAIRS`` partners. So a node with many
+    partners is spread over many chunks, and a task holds the sets of one u and of a slice.
     """
-    both = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-    both = both.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
+    ends = work.save(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+    texts = docs.join(broadcast_if_small(ends, BROADCAST_ROWS), "node")
+    sizes = work.save(pairs.groupBy("u").agg(F.count("*").alias("partners")))
+    chunks = F.ceil(F.col("partners") / CHUNK_PAIRS).cast("int")
+    left = texts.withColumnRenamed("node", "u").join(broadcast_if_small(sizes, BROADCAST_ROWS), "u")
+    left = left.select("u", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(None).cast("long").alias("v"), "text")
+    dealt = join_by_key(pairs, sizes, "u", "partners", BROADCAST_ROWS)
+    dealt = dealt.select("u", F.pmod(F.xxhash64("v"), chunks).cast("int").alias("chunk"), "v")
+    dealt = work.save(dealt)
+    few = dealt.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    right = texts.withColumnRenamed("node", "v").join(F.broadcast(dealt) if few else dealt, "v").select("u", "chunk", "v", "text")
+    rows = left.unionByName(right).repartition("u", "chunk").sortWithinPartitions("u", "chunk", F.asc_nulls_first("v"))
 
     def run(batches):
         import pyarrow as pa
 
         from .shingles import shingle_sets, text_bytes
 
-        last: OrderedDict = OrderedDict()
+        key, heads = None, []
         for whole in batches:
-            step = max(1, int(whole.num_rows * (4 << 20) / max(1, whole.nbytes)))
+            step = max(1, int(whole.num_rows * (1 << 20) / max(1, whole.nbytes)))
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
+                us, chunk, vs = (batch.column(i).to_pylist() for i in range(3))
                 keep = []
-                right = shingle_sets(*text_bytes(batch.column(3)), width)
-                for i, b in enumerate(right):
-                    key = batch.column(2)[i].as_py()
-                    a = last.get(key)
-                    if a is None:
-                        a = shingle_sets(*text_bytes(batch.column(2).slice(i, 1)), width)[0]
-                        last[key] = a
-                        if len(last) > 4:
-                            last.popitem(last=False)
-                    keep.append(_linked(a, b, percent))
+                for i, found in enumerate(shingle_sets(*text_bytes(batch.column(3)), width)):
+                    if (us[i], chunk[i]) != key:
+                        key, heads = (us[i], chunk[i]), []
+                    if vs[i] is None:
+                        heads.append(found)
+                    keep.append(vs[i] is not None and any(_linked(h, found, percent) for h in heads))
                 keep = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], names=["u", "v"])
 
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long").distinct()
+    out = work.save(rows.mapInArrow(run, "u long, v long"))
+    work.drop(ends, sizes, dealt)
+    return out
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -168,80 +187,175 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def linked_in_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links found in blocks of (bucket, i, j, outside, node, component, n, signature, bands, text).
+def spanning(pairs: list[tuple[int, int]], forests: int) -> tuple[list[int], bool]:
+    """Places of the pairs (of components) that join trees of one of so many forests, taken in
+    order, and whether any pair was left out."""
+    roots: list[dict[int, int]] = [{} for _ in range(forests)]
 
-    The outside rows of a block meet its other rows of different components; a pair is looked at
-    in the first band that it shares only. What passes the size bound and signature
-    verification is decided on full sets at once, so only links leave a block, and two
-    components that a link has joined are not compared again in it.
-    """
-    floor = _agreement_floor(percent / 100)
+    def root(of: dict[int, int], c: int) -> int:
+        while (up := of.get(c, c)) != c:
+            of[c] = of.get(up, up)
+            c = up
+        return c
 
-    def compare(group: list[tuple]) -> list[tuple[int, int]]:
-        import pyarrow as pa
+    out = []
+    for i, (a, b) in enumerate(pairs):
+        for of in roots:
+            x, y = root(of, a), root(of, b)
+            if x != y:
+                of[max(x, y)] = min(x, y)
+                out.append(i)
+                break
+    return out, len(out) < len(pairs)
 
-        from .shingles import shingle_sets, text_bytes
 
-        outer = [r for r in group if r[3]]
-        inner = [r for r in group if not r[3]]
-        if not outer or not inner:
-            return []
-        bucket = group[0][0]
-        comps, sizes = (np.array([r[k] for r in inner], np.int64) for k in (5, 6))
-        sigs = np.frombuffer(b"".join(r[7] for r in inner), np.uint8).reshape(len(inner), -1)
-        bands = np.array([r[8] for r in inner], np.int64)
-        sets: dict[int, np.ndarray] = {}
-        links, joined = [], {}
-
-        def root(c: int) -> int:
-            while joined.get(c, c) != c:
-                c = joined[c]
-            return c
-
-        def set_of(row: tuple) -> np.ndarray:
-            if row[4] not in sets:
-                sets[row[4]] = shingle_sets(*text_bytes(pa.array([row[9]], pa.string())), width)[0]
-            return sets[row[4]]
+def proposed_in_blocks(rows: DataFrame, percent: int, forests: int) -> DataFrame:
+    """Pairs (u, v) to confirm, from blocks of (bucket, i, j, outside, node, component, n, signature).
 
+    The outside rows of a block meet its other rows of different components. A block that withholds
+    a pair says so in a row whose ``withheld`` is true and whose ends are null.
+    """
+    floor = _agreement_floor(percent / 100)
+
+    def propose(block: list) -> tuple[list[tuple[int, int]], bool]:
+        flags, node, comp, n, sig = (np.concatenate([b[k] for b in block]) for k in range(5))
+        outer, inner = np.flatnonzero(flags), np.flatnonzero(~flags)
+        if not len(outer) or not len(inner):
+            return [], False
+        comps, sizes, sigs = comp[inner], n[inner], sig[inner]
+        found = []
         for r in outer:
-            fits = np.flatnonzero((comps != r[5]) & (100 * np.minimum(sizes, r[6]) >= percent * np.maximum(sizes, r[6])))
-            if not len(fits):
-                continue
-            agree = (sigs[fits] == np.frombuffer(r[7], np.uint8)).sum(1)
-            close = np.flatnonzero(agree >= floor)
-            shared = bands[fits[close]] == np.array(r[8], np.int64)
-            first = np.array(r[8], np.int64)[shared.argmax(1)] == bucket if len(close) else []
-            close = close[first] if len(close) else close
-            for k in close[np.argsort(-agree[close], kind="stable")]:
-                other = inner[fits[k]]
-                a, b = root(r[5]), root(other[5])
-                if a != b and _linked(set_of(r), set_of(other), percent):
-                    joined[max(a, b)] = min(a, b)
-                    links.append((min(r[4], other[4]), max(r[4], other[4])))
-        return links
+            fits = np.flatnonzero((comps != comp[r]) & (100 * np.minimum(sizes, n[r]) >= percent * np.maximum(sizes, n[r])))
+            if len(fits):
+                agree = (sigs[fits] == sig[r]).sum(1)
+                close = agree >= floor
+                found.append(np.stack([agree[close], np.full(close.sum(), r), inner[fits[close]]]))
+        if not found:
+            return [], False
+        agree, a, b = np.concatenate(found, 1)
+        order = np.lexsort((node[b], node[a], -agree))
+        a, b = a[order], b[order]
+        chosen, withheld = spanning(list(zip(comp[a].tolist(), comp[b].tolist())), forests)
+        return [(min(x, y), max(x, y)) for x, y in zip(node[a[chosen]].tolist(), node[b[chosen]].tolist())], withheld
 
     def run(batches):
         import pyarrow as pa
 
-        key, group = None, []
+        key, block = None, []
 
         def out():
-            links = compare(group)
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            pairs, withheld = propose(block)
+            us, vs = ([p[k] for p in pairs] + [None] * withheld for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array([False] * len(pairs) + [True] * withheld, pa.bool_())], names=["u", "v", "withheld"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != key:
-                    if group:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            flags = batch.column(3).to_numpy(zero_copy_only=False)
+            values = [batch.column(i).to_numpy() for i in (4, 5, 6)]
+            sigs = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if tuple(keys[a]) != key:
+                    if block:
                         yield out()
-                    key, group = row[:3], []
-                group.append(row)
-        if group:
+                    key, block = tuple(keys[a]), []
+                block.append((flags[a:b], *(x[a:b] for x in values), sigs[a:b]))
+        if block:
             yield out()
 
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(run, "u long, v long, withheld boolean")
+
+
+class _Links:
+    """Confirmed links so far, as components, and the tables that finding more of them needs."""
+
+    def __init__(self, nodes: DataFrame, docs: DataFrame, members: DataFrame, width: int, percent: int, work: Workspace):
+        self.nodes, self.docs, self.members = nodes, docs, members
+        self.width, self.percent, self.work = width, percent, work
+        self.parts = work.save(nodes.select("node", F.col("node").alias("component")).where("1 = 0"))
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Confirm proposed pairs whose ends lie in different components, and join these."""
+        work = self.work
+        for end in ("u", "v"):
+            part = self.parts.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+            pairs = pairs.join(broadcast_if_small(part, BROADCAST_ROWS), end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
+        apart = work.save(pairs.where("c_u <> c_v").select("u", "v").distinct())
+        if not apart.isEmpty():
+            links = confirmed(apart, self.docs, self.width, self.percent, work)
+            if not links.isEmpty():
+                edges = links.union(self.parts.where("node <> component"))
+                old, self.parts = self.parts, work.save(connected_components(edges, work))
+                work.drop(old)
+            work.drop(links)
+        work.drop(apart)
+
+    def star(self, pairs: DataFrame) -> None:
+        """Confirm what passes of pairs (u, v): for each v its likeliest u first, then the others."""
+        work = self.work
+        pairs = work.save(pairs.distinct())
+        ends = self.nodes.select("node", "n", "signature")
+        heads = work.save(ends.toDF("u", "n_u", "sig_u").join(pairs.groupBy("u").agg(F.count("*").alias("partners")), "u"))
+        joined = pairs.join(ends.toDF("v", "n_v", "sig_v"), "v")
+        joined = join_by_key(joined, heads, "u", "partners", BROADCAST_ROWS // 8)
+        close = work.save(agreeing(joined.where(_sized("n_u", "n_v", self.percent)), self.percent).distinct())
+        self.confirm(close.groupBy("v").agg(F.max(F.struct("agree", (-F.col("u")).alias("u"))).alias("best")).select((-F.col("best.u")).alias("u"), "v"))
+        self.confirm(close)
+        work.drop(pairs, heads, close)
+
+    def open_rows(self) -> DataFrame:
+        """The members of buckets that still have several components: ``bucket, node, n, component,
+        head, members, main, main_of, outside``, main being the component of the least node."""
+        placed = self.members.where("members > 2").join(self.parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sums = placed.groupBy("bucket").agg(F.min_by("component", "node").alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        sums = self.work.save(sums.where("lo <> hi").join(self.members.select("bucket", "members").distinct(), "bucket").select("bucket", "main", F.col("members").alias("size")))
+        out = self.work.save(join_by_key(placed, sums, "bucket", "size", BROADCAST_ROWS).withColumn("outside", F.col("component") != F.col("main")).drop("size"))
+        self.work.drop(sums)
+        return out
+
+    def further_heads(self) -> DataFrame:
+        """Give large open buckets new heads while that joins a quarter of what lies outside; the
+        rows that are still open."""
+        heads, before = None, None
+        while True:
+            rows = self.open_rows()
+            large = rows.where(F.col("members") > BLOCK)
+            outside = large.where("outside").count()
+            if not outside or (before is not None and 4 * outside > 3 * before):
+                return rows
+            before = outside
+            left = large.where("outside")
+            if heads is not None:  # heads ascend, so none comes twice
+                left = left.join(broadcast_if_small(heads.select("bucket", F.col("next").alias("last")), BROADCAST_ROWS), "bucket").where("node > last")
+            chosen = self.work.save(left.groupBy("bucket").agg(F.min("node").alias("next"), F.min_by("component", "node").alias("c_next"), F.max("members").alias("size")))
+            met = join_by_key(large, chosen, "bucket", "size", BROADCAST_ROWS).where("component <> c_next")
+            self.star(met.select(F.col("next").alias("u"), F.col("node").alias("v")))
+            self.work.drop(rows, *([] if heads is None else [heads]))
+            heads = chosen
+
+    def blocks(self, rows: DataFrame) -> None:
+        """Compare what is open in blocks until no block withholds a pair."""
+        forests = FORESTS
+        while not rows.isEmpty():
+            size = self.work.save(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.col("outside").cast("long")).alias("out")))
+            dealt = join_by_key(rows, size, "bucket", "size", BROADCAST_ROWS)
+            salt = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
+            m, o = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("size", "out"))
+            full = dealt.withColumns({"m": m, "o": o, "salt": salt}).join(self.nodes.select("node", "signature"), "node")
+            carried = ["node", "component", "n", "signature"]
+            inner = full.select("bucket", F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("i"), (F.col("salt") % F.col("m")).alias("j"), F.lit(False).alias("outside"), *carried)
+            outer = full.where("outside").select("bucket", (F.col("salt") % F.col("o")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), F.lit(True).alias("outside"), *carried)
+            found = self.work.save(proposed_in_blocks(inner.unionByName(outer), self.percent, forests))
+            self.confirm(found.where("not withheld").select("u", "v").distinct())
+            done = found.where("withheld").isEmpty()
+            self.work.drop(size, found, rows)
+            if done:
+                return
+            forests *= FORESTS
+            rows = self.open_rows()
 
 
 def near_duplicates(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -252,60 +366,37 @@ def near_duplicates(df: DataFrame, work: Workspace, id_col: str = "doc_id", text
     Texts without words (null, empty, blanks) have 0 shingles and are linked with nothing.
     Rows that repeat an id and text get equal results; rows that repeat an id with another text
     are documents of their own, whose texts count as one when links are confirmed. A row with
-    a null id is linked with nothing, has a null component_id and is kept. Only the id and
-    text columns are read, so other columns may have any names. Ids are integers.
+    a null id is linked with nothing, has a null component_id and is kept. An empty table gives
+    no rows. Only the id and text columns are read, so other columns may have any names. Ids are
+    integers. ``df`` is read once for the fingerprints and again for each round of confirmations,
+    so a costly plan should be saved before.
     """
     slim = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = work.save(fingerprints(slim, "id", "text", width))
-    # One row for each class: equal sets have equal signatures, so any row's will do.
-    same = prints.where("class is not null and id is not null").groupBy("class")
-    nodes = work.save(same.agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
-    classes = nodes.select("class", "node")
+    prints = work.save(fingerprints(slim, "id", "text", width).withColumn("row", F.monotonically_increasing_id()))
+    # One row stands for each class of equal sets: the first one of its least id.
+    known = prints.where("class is not null and id is not null")
+    classes = work.save(known.groupBy("class").agg(F.min(F.struct("id", "row")).alias("least"), F.count("*").alias("copies")).select("class", "copies", F.col("least.id").alias("node"), F.col("least.row").alias("row")))
+    firsts = broadcast_if_small(classes.select("row", "node"), BROADCAST_ROWS)
+    nodes = work.save(known.join(firsts, "row").select("node", F.col("n_shingles").alias("n"), "signature", "bands"))
 
-    # First round: every bucket's members against its least.
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     heads = work.save(buckets.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("members")).where("members > 1"))
-    joined = work.save(buckets.join(broadcast_if_small(heads, BROADCAST_ROWS), "bucket"))
-    met = work.save(joined.select("node").distinct())
-    texts = slim.where("id is not null").select(F.col("id").alias("node"), "text").join(broadcast_if_small(met, BROADCAST_ROWS), "node")
-    texts = work.save(texts)
-    star = joined.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
-    linked = work.save(confirmed(_passing(star, nodes, percent), texts, width, percent))
-    parts = connected_components(linked, work)
-
-    # Second round: what may still join two components, in blocks.
-    placed = joined.where("members > 2").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).select("bucket", "head", "node", "n", "component")
-    placed = placed.join(parts.select(F.col("node").alias("head"), F.col("component").alias("main")), "head", "left").withColumn("main", F.coalesce("main", "head"))
-    outer = (F.col("component") != F.col("main")).cast("long")
-    open_buckets = placed.groupBy("bucket").agg(F.count("*").alias("members"), F.sum(outer).alias("outside")).where("outside > 0")
-    rows = placed.join(open_buckets, "bucket")
-    rows = rows.select("bucket", "node", "component", "n", (outer == 1).alias("is_outside"), F.ceil(F.col("members") / BLOCK).cast("int").alias("m"), F.ceil(F.col("outside") / BLOCK).cast("int").alias("o"))
-    rows = work.save(rows)
-    full = rows.join(nodes.drop("class"), ["node", "n"]).join(texts, "node")
-    salt = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
-    carried = ["node", "component", "n", "signature", "bands", "text"]
-    inner = full.select("bucket", F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("i"), (salt % F.col("m")).alias("j"), F.lit(False).alias("outside"), *carried)
-    outside = full.where("is_outside").select("bucket", (salt % F.col("o")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), F.lit(True).alias("outside"), *carried)
-    more = work.save(linked_in_blocks(inner.unionByName(outside), width, percent))
-    if not more.isEmpty():
-        parts = connected_components(linked.union(more), work)
-
-    named = classes.join(parts, "node", "left").select(F.col("class"), F.coalesce("component", "node").alias("component_id"))
-    known = prints.where("class is not null and id is not null").select("id", "n_shingles", "class").join(named, "class").select("id", "n_shingles", "component_id")
+    members = work.save(join_by_key(buckets, heads, "bucket", "members", BROADCAST_ROWS))
+    work.drop(heads)
+    docs = slim.where("id is not null").select(F.col("id").alias("node"), "text")
+    links = _Links(nodes, docs, members, width, percent, work)
+    links.star(members.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")))
+    links.blocks(links.further_heads())
+
+    named = classes.join(links.parts, "node", "left").select("class", "copies", F.coalesce("component", "node").alias("component_id"))
+    found = join_by_key(known.select("id", "n_shingles", "class"), work.save(named), "class", "copies", BROADCAST_ROWS)
     alone = prints.where("class is null or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
-    out = known.union(alone)
+    out = found.select("id", "n_shingles", "component_id").union(alone)
     out = work.save(out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))))
-    work.drop(heads, joined, met, texts, rows, nodes, linked, more, prints)
+    work.drop_others(out)
     return out.withColumnRenamed("id", id_col)
 
 
-def _passing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs that pass the size bound and signature verification."""
-    ends = nodes.select("node", "n", "signature")
-    joined = pairs.join(ends.toDF("v", "n_v", "sig_v"), "v").join(ends.toDF("u", "n_u", "sig_u"), "u")
-    return agreeing(joined.where(_sized("n_u", "n_v", percent)), percent).distinct()
-
-
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-equal documents over two-word shingles at similarity 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "minhash"), width=2, percent=80)

@@ -8,24 +8,19 @@ import numpy as np
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]  # A-Z read as a-z
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(4095, _STEP)]))
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if n > len(_POWERS):
-        _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, _STEP)]))
-    return _POWERS
+#: Places of a word whose terms are looked up; the terms of later ones are computed.
+_TABLED = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads every bit."""
+    """A bijection of 64-bit integers that spreads every bit; its constants are fixed values of a
+    well-known generator."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> np.uint64(27))
@@ -33,6 +28,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _terms(seeds: np.ndarray, data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What each byte adds to the hash of its word: a number of its own for each byte and place. The
+    sum has no structure in the places, so no rule of repetition makes words collide."""
+    return mix(seeds[data] + place.astype(np.uint64) * _STEP)
+
+
+_TABLES = {fold: _terms(seeds, np.tile(np.arange(256), _TABLED), np.repeat(np.arange(_TABLED), 256)) for fold, seeds in ((False, _BYTE), (True, _FOLDED))}
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in ``data`` (UTF-8), and for each text where its words begin.
 
@@ -55,7 +59,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tup
     at = np.flatnonzero(inside)
     word = word[at]
     place = at - starts[word]
-    values = (_FOLDED if fold else _BYTE)[data[at]] * _powers(int(place.max()) + 1)[place]
+    held = data[at]
+    values = _TABLES[fold][(np.minimum(place, _TABLED - 1) << 8) | held]
+    late = np.flatnonzero(place >= _TABLED)
+    if len(late):
+        values[late] = _terms(_FOLDED if fold else _BYTE, held[late], place[late])
     begin = np.flatnonzero(first[at])
     return mix(np.add.reduceat(values, begin)), counts
 
