@@ -3,10 +3,10 @@
 The corpus is normalised once to blank-separated words. Document frequencies of the
 benchmark's terms come from all of it. For each benchmark window the rarest terms become its
 anchors, and the index stores the postings (term, row, position) of every anchor term in every
-text. Offset-adjusted lists meet by grouping postings on (row, item, position - offset): a
-window is a candidate where all its anchors fall together. Candidates are compared with the
-words of the text itself, which gives exact phrase matches; anchors that meet within a slop
-instead give proximity matches.
+text. Offset-adjusted lists meet by grouping postings on (row, item) and a slot of neighbouring
+shifts (position - offset). Groups with fewer postings than a window has anchors go at once. In the
+rest, a window whose anchors all stand in one slot is a proximity match, and one whose anchors
+stand at the same shift is a candidate, whose words are compared with those of the text.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Workspace, broadcast_if_small, table
+from .common import LOWER, UPPER, Workspace, broadcast_if_small, join_by_key, table
 
 #: Words of a window, anchors of each window, and the slop of a proximity match in words.
 WINDOW, ANCHORS, SLOP = 13, 3, 8
@@ -34,15 +34,22 @@ def word_list(words: Column) -> Column:
     return F.when(words == "", F.array().cast("array<string>")).otherwise(F.split(words, " "))
 
 
+def _phrase(words: Column, start: Column, width: Column) -> Column:
+    """``width`` words from ``start``, read one by one: a slice would copy the whole list each time."""
+    return F.array_join(F.transform(F.sequence(start, start + width - 1), lambda i: F.get(words, i)), " ")
+
+
 def benchmark_items(bench: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """``item, item_id, words, starts, width``: one row for each item with words; starts has the
-    first place of each different window."""
+    """``item, item_id, words, width``: one row for each item with words."""
     items = bench.select(F.monotonically_increasing_id().alias("item"), F.col(id_col).cast("string").alias("item_id"), word_list(normalised(F.col(text_col))).alias("words")).where(F.size("words") > 0)
-    items = items.withColumn("width", F.least(F.size("words"), F.lit(window)))
-    windows = items.select("item", "width", "words", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("width"))).alias("start"))
-    windows = windows.withColumn("phrase", F.sha2(F.array_join(F.slice("words", F.col("start") + 1, F.col("width")), " "), 256))
-    starts = windows.groupBy("item", "phrase").agg(F.min("start").alias("start")).groupBy("item").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    return items.join(starts, "item")
+    return items.withColumn("width", F.least(F.size("words"), F.lit(window)))
+
+
+def benchmark_windows(items: DataFrame) -> DataFrame:
+    """``item, width, start, phrase``: the first place of each different window of an item."""
+    phrases = F.transform(F.sequence(F.lit(0), F.size("words") - F.col("width")), lambda s: _phrase(F.col("words"), s, F.col("width")))
+    windows = items.select("item", "width", F.posexplode(phrases).alias("start", "phrase"))
+    return windows.groupBy("item", "width", "phrase").agg(F.min("start").alias("start"))
 
 
 def _term(word: Column) -> Column:
@@ -53,68 +60,67 @@ def contamination(docs: DataFrame, bench: DataFrame, work: Workspace, id_col: st
     """One row for each row of ``docs``: ``id_col, n_words, n_hit, items, near_items``.
 
     n_hit counts the words inside occurrences of benchmark windows; items holds the sorted
-    ids (as strings) of items with occurring windows, near_items those whose anchors meet
-    within ``SLOP`` words of their places. A null or empty text has no words and no hits;
-    rows are kept apart even if they repeat or have null ids; items with null or empty text have
-    no windows, and items with a null id give hits but no id. Empty tables give empty results.
-    Columns other than the named ones are not read.
+    ids (as strings) of items with occurring windows, near_items those with a window whose anchors
+    meet within about ``SLOP`` words of their places (exact matches are among them). A null or empty
+    text has no words and no hits; rows are kept apart even if they repeat or have null ids; items
+    with null or empty text have no windows, and items with a null id give hits but no id. Empty
+    tables give empty results. Columns other than the named ones are not read. Time grows in
+    proportion to the words of texts and items and to the places where anchors stand.
     """
     corpus = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("words"))
     corpus = corpus.select(F.monotonically_increasing_id().alias("row"), "id", F.size(word_list(F.col("words"))).cast("long").alias("n_words"), "words")
     corpus = work.save(corpus)
     items = work.save(benchmark_items(bench, item_id_col, item_text_col, window))
+    phrases = work.save(benchmark_windows(items))
 
     # Frequencies of benchmark terms over all texts.
     vocabulary = items.select(F.explode("words").alias("word")).select(_term(F.col("word")).alias("term")).distinct()
-    tokens = corpus.where("n_words > 0").select(F.explode(F.split("words", " ")).alias("word")).select(_term(F.col("word")).alias("term"))
-    counts = work.save(tokens.join(broadcast_if_small(vocabulary, BROADCAST_ROWS), "term").groupBy("term").agg(F.count("*").alias("df")))
+    vocabulary = work.save(vocabulary)
+    tokens = corpus.where("n_words > 0").select("row", F.posexplode(F.split("words", " ")).alias("position", "word")).select("row", "position", _term(F.col("word")).alias("term"))
+    if vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        counts = tokens.select("term").join(F.broadcast(vocabulary), "term").groupBy("term").agg(F.count("*").alias("df"))
+    else:  # counted before they are joined, so a frequent term is one row
+        counts = tokens.groupBy("term").agg(F.count("*").alias("df")).join(vocabulary, "term")
+    counts = work.save(counts)
 
     # The rarest terms of each window; a window with a term that no text has cannot occur.
-    places = items.select("item", F.posexplode("words").alias("place", "word")).withColumn("term", _term(F.col("word"))).join(counts, "term")
-    ranked = places.groupBy("item").agg(F.map_from_entries(F.collect_list(F.struct("place", "df"))).alias("df"))
-    windows = items.join(ranked, "item").select("item", "width", "df", F.explode("starts").alias("start"))
-    inside = F.transform(F.sequence(F.col("start"), F.col("start") + F.col("width") - 1), lambda i: F.struct(F.try_element_at("df", i).alias("df"), i.alias("place")))
-    windows = windows.withColumn("inside", inside).where(~F.exists("inside", lambda x: x["df"].isNull()))
-    windows = windows.select("item", "start", F.transform(F.slice(F.sort_array("inside"), 1, ANCHORS), lambda x: x["place"]).alias("anchors"))
-    windows = work.save(windows)
-    anchors = windows.select("item", F.explode("anchors").alias("place")).distinct().join(places.select("item", "place", "term"), ["item", "place"])
-    wanted = windows.groupBy("item").agg(F.collect_list(F.struct("start", "anchors")).alias("windows"))
-
-    # The index: postings of the anchor terms in all texts.
-    anchors = work.save(anchors)
-    terms = anchors.select("term").distinct()
-    postings = corpus.where("n_words > 0").select("row", F.posexplode(F.split("words", " ")).alias("position", "word")).select("row", "position", _term(F.col("word")).alias("term"))
-    postings = work.save(postings.join(broadcast_if_small(terms, BROADCAST_ROWS), "term"))
-
-    # Offset-adjusted lists meet.
-    met = postings.join(broadcast_if_small(anchors, BROADCAST_ROWS), "term").select("row", "item", (F.col("position") - F.col("place")).alias("shift"), "place")
-    wanted = broadcast_if_small(wanted, BROADCAST_ROWS)
-
-    def whole(lists: DataFrame) -> DataFrame:
-        """Groups with the starts of the windows all of whose anchors they hold."""
-        full = F.filter("windows", lambda w: F.size(F.array_except(w["anchors"], F.col("places"))) == 0)
-        return lists.join(wanted, "item").withColumn("found", F.transform(full, lambda w: w["start"])).where(F.size("found") > 0).drop("windows", "places")
-
-    candidates = whole(met.groupBy("row", "item", "shift").agg(F.collect_set("place").alias("places")))
-    slots = F.array(F.floor(F.col("shift") / SLOP), F.floor(F.col("shift") / SLOP) + 1)
-    near = whole(met.withColumn("slot", F.explode(slots)).groupBy("row", "item", "slot").agg(F.collect_set("place").alias("places"))).select("row", "item").distinct()
-
-    # Exact phrases: candidates against the words of the text.
-    candidates = work.save(candidates)
-    texts = corpus.join(broadcast_if_small(candidates.select("row").distinct(), BROADCAST_ROWS), "row", "left_semi")
-    texts = texts.select("row", F.split("words", " ").alias("text_words"))
-    checked = candidates.join(texts, "row").join(broadcast_if_small(items.select("item", "item_id", "words", "width"), BROADCAST_ROWS), "item")
-    same = lambda s: (F.col("shift") + s >= 0) & (F.slice("text_words", F.greatest(F.col("shift") + s + 1, F.lit(1)), F.col("width")) == F.slice("words", s + 1, F.col("width")))
-    exact = checked.withColumn("found", F.filter("found", same)).where(F.size("found") > 0)
-    spans = F.transform("found", lambda s: F.struct((F.col("shift") + s).alias("a"), (F.col("shift") + s + F.col("width")).alias("b")))
-    exact = exact.select("row", "item_id", spans.alias("spans"))
-    near_ids = near.join(broadcast_if_small(items.select("item", "item_id"), BROADCAST_ROWS), "item").select("row", "item_id", F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
-    both = exact.withColumn("exact", F.lit(True)).unionByName(near_ids.withColumn("exact", F.lit(False)))
-    merged = both.groupBy("row").agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("items"),
-        F.sort_array(F.collect_set(F.when(~F.col("exact"), F.col("item_id")))).alias("near_items"),
-    )
+    places = items.select("item", F.posexplode("words").alias("place", "word")).select("item", "place", _term(F.col("word")).alias("term"))
+    places = places.join(broadcast_if_small(counts, BROADCAST_ROWS), "term")
+    inside = phrases.select("item", "width", "start", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("width") - 1)).alias("place")).join(places, ["item", "place"])
+    ranked = inside.groupBy("item", "width", "start").agg(F.sort_array(F.collect_list(F.struct("df", "place", "term"))).alias("terms")).where(F.size("terms") == F.col("width"))
+    anchors = ranked.select("item", "start", F.explode(F.slice("terms", 1, ANCHORS)).alias("a"))
+    anchors = work.save(anchors.select("item", "start", "a.place", "a.term", "a.df"))
+    need = F.least(F.col("width"), F.lit(ANCHORS))
+    needs = items.select("item", need.alias("need"))
+
+    # The index: postings of the anchor terms in all texts, joined to the places of the items.
+    sites = work.save(anchors.select("item", "place", "term", "df").distinct())
+    terms = sites.select("term", "df").distinct()
+    postings = work.save(join_by_key(tokens, terms, "term", "df", BROADCAST_ROWS).drop("df"))
+    met = join_by_key(postings, sites, "term", "df", BROADCAST_ROWS).select("row", "item", (F.col("position") - F.col("place")).alias("shift"), "place")
+
+    # Offset-adjusted lists meet where a slot of neighbouring shifts has as many postings as a window has anchors.
+    base = F.floor(F.col("shift") / SLOP).cast("int")
+    slotted = met.withColumn("slot", F.explode(F.array(base, base + 1)))
+    full = slotted.groupBy("row", "item", "slot").agg(F.count("*").alias("n")).join(broadcast_if_small(needs, BROADCAST_ROWS), "item").where("n >= need").select("row", "item", "slot", "need")
+    full = work.save(full)
+    lists = slotted.join(broadcast_if_small(full, BROADCAST_ROWS), ["row", "item", "slot"])
+    lists = work.save(lists.join(broadcast_if_small(anchors.select("item", "place", "start"), BROADCAST_ROWS), ["item", "place"]))
+    near = lists.groupBy("row", "item", "slot", "start").agg(F.count_distinct("place").alias("n"), F.first("need").alias("need")).where("n = need").select("row", "item").distinct()
+    # A window's anchors at one shift fall into both slots of that shift; one of them counts.
+    exact = lists.where(F.col("slot") == base).groupBy("row", "item", "shift", "start").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n = need")
+    exact = exact.select("row", "item", "start", (F.col("shift") + F.col("start")).alias("at")).where("at >= 0")
+
+    # Exact phrases: the words at the candidate places of a text, read once for each row, against the windows.
+    candidates = work.save(exact.join(broadcast_if_small(phrases, BROADCAST_ROWS), ["item", "start"]).select("row", "item", "at", "width", "phrase"))
+    spots = work.save(candidates.select("row", "at", "width").distinct().groupBy("row").agg(F.collect_list(F.struct("at", "width")).alias("spots")))
+    texts = corpus.select("row", "words").join(broadcast_if_small(spots, BROADCAST_ROWS), "row")
+    held = F.transform(F.array(F.split("words", " ")), lambda words: F.transform("spots", lambda s: F.struct(s["at"].alias("at"), s["width"].alias("width"), _phrase(words, s["at"], s["width"]).alias("phrase"))))
+    read = texts.select("row", F.explode(F.get(held, F.lit(0))).alias("r")).select("row", "r.*")
+    found = work.save(candidates.join(read, ["row", "at", "width", "phrase"]).select("row", "item", "at", "width"))
+
+    names = broadcast_if_small(items.select("item", "item_id"), BROADCAST_ROWS)
+    spans = found.select("row", F.struct(F.col("at").alias("a"), (F.col("at") + F.col("width")).alias("b")).alias("span")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("spans"))
     # Words under a union of spans, sorted by start: each adds what lies beyond the end so far.
     covered = F.aggregate(
         "spans",
@@ -122,11 +128,15 @@ def contamination(docs: DataFrame, bench: DataFrame, work: Workspace, id_col: st
         lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(acc["end"], s["a"]))).alias("n"), F.greatest(acc["end"], s["b"]).alias("end")),
         lambda acc: acc["n"],
     )
-    merged = merged.select("row", covered.alias("n_hit"), "items", "near_items")
-    none = F.array().cast("array<string>")
-    out = corpus.select("row", "id", "n_words").join(merged, "row", "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
+    hits = spans.select("row", covered.alias("n_hit"))
+    named = lambda rows, out: rows.select("row", "item").distinct().join(names, "item").groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias(out))
+    none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
+    out = corpus.select("row", "id", "n_words")
+    for part in (hits, named(found, "items"), named(near, "near_items")):
+        out = out.join(broadcast_if_small(work.save(part), BROADCAST_ROWS), "row", "left")
+    out = out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
     out = work.save(out)
-    work.drop(corpus, items, counts, windows, anchors, postings, candidates)
+    work.drop_others(out)
     return out
 
 
@@ -140,7 +150,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        is_contaminated().alias("contaminated"),
+        is_contaminated().alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -157,12 +167,28 @@ with docs as (
   from (select row, w, n, unnest(range(1, len(w) - n + 2)) as s from docs, (select distinct n from windows) where len(w) >= n)
 ), found as (
   select row, s, g.n, item_id from grams g join windows using (phrase)
+), terms as (
+  select item_id, w, n, unnest(range(1, len(w) + 1)) as place, unnest(w) as term from (select row_number() over () as item_id, w, least(13, len(w)) as n from items where len(w) > 0)
+), tokens as (select row, unnest(range(1, len(w) + 1)) as pos, unnest(w) as term from docs
+), df as (select term, count(*) as df from tokens join (select distinct term from terms) using (term) group by term
+), starts as (
+  select item_id, n, min(s) as s from (select item_id, w, n, unnest(range(1, len(w) - n + 2)) as s from (select distinct item_id, w, n from terms)) group by item_id, n, array_to_string(w[s:s + n - 1], ' ')
+), anchors as (
+  select item_id, s, n, place, term from (
+    select item_id, s, st.n, place, term, df, row_number() over (partition by item_id, s order by df nulls last, place) as k, count(df) over (partition by item_id, s) as there
+    from starts st join terms t using (item_id) left join df using (term) where place between s and s + st.n - 1)
+  where k <= 3 and there = n
+), slots as (
+  select row, item_id, s, n, place, floor((pos - place) / 8.0) + unnest([0, 1]) as slot from tokens join anchors using (term)
+), near as (
+  select row, count(distinct ids) as n_near from (select distinct row, item_id from (select row, item_id from slots group by row, item_id, s, n, slot having count(distinct place) = least(3, n))) join (select row_number() over () as item_id, item_id as ids from items where len(w) > 0) using (item_id) group by row
 ), hits as (
   select row, count(distinct p) as n_hit from (select row, unnest(range(s, s + n)) as p from (select distinct row, s, n from found)) group by row
 ), named as (
   select row, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from found group by row
 )
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
-       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from docs left join hits using (row) left join named using (row)
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated,
+       cast(coalesce(n_near, 0) as bigint) as n_near_items
+from docs left join hits using (row) left join named using (row) left join near using (row)
 """

@@ -3,9 +3,13 @@
 Each document gets exact statistics of its whole text. Ratios, in thousandths, are counted
 into log-linear buckets (the top eight bits of a value, so within 1/128), for each language,
 source and ratio. Such a sketch merges by adding counts, in any order, and gives the same
-quantiles on every run. Upper and lower fences follow from the quartiles of the document's own
-group; groups with few documents take the merged sketch of their language, then of all. The
-fences are joined to the documents, salted where they are too many to broadcast.
+quantiles on every run. Fences follow from the quantiles of the document's own group and nothing
+else: three times the way from the median to the last tenth beyond that tenth. So a group whose
+documents are alike gets near fences and a mixed one gets far ones. Up to a tenth of a group may be
+junk without moving them. Groups with few documents take the merged sketch of their language, then
+of all. A document is held against its fence by what it has beyond it, in characters, symbols,
+lines or words: a few of these tell nothing, however short the text. The fences are joined to the
+documents, salted where they are too many to broadcast.
 """
 
 from __future__ import annotations
@@ -17,14 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, map_arrow, table
 
-#: Ratios, each with the least spread (in thousandths) that its quartiles are taken to have.
-SPREADS = {"length": 500, "symbols": 50, "dup_lines": 130, "repeats": 68}
-#: Fences lie so many spreads beyond the quartiles.
+#: Ratios, each with the units (characters, symbols, lines, words) that a text may have beyond its fence.
+ALLOWED = {"length": 30, "symbols": 5, "dup_lines": 3, "repeats": 20}
+#: Fences lie so many times the way from the median to the last tenth beyond that tenth.
 FENCE = 3
 #: Documents a group needs for fences of its own.
 GROUP = 50
-#: Allowance of the length fences for short texts, in thousandths times words.
-SHORT = 30_000
 #: Fences broadcast up to so many rows; beyond, they are copied to salts and shuffled.
 BROADCAST_ROWS, SALTS = 20_000, 16
 
@@ -106,6 +108,11 @@ def _bucket(value: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
+def _top(bucket: Column) -> Column:
+    """The greatest whole number of a bucket."""
+    return bucket + F.call_function("shiftleft", F.lit(1), F.greatest(F.length(F.bin(bucket)) - 8, F.lit(0))) - 1
+
+
 def sketches(stats: DataFrame) -> DataFrame:
     """``lang, source, ratio, bucket, n``: the mergeable sketch of each group and ratio."""
     cells = F.array(*[F.struct(F.lit(k).alias("ratio"), _bucket(v).alias("bucket")) for k, v in _ratios().items()])
@@ -113,34 +120,36 @@ def sketches(stats: DataFrame) -> DataFrame:
     return cells.groupBy("lang", "source", "c.ratio", "c.bucket").agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartile buckets and the count of documents of each group named by ``keys``."""
+def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """The first tenth, median and last tenth of each ratio and group named by ``keys``, and its documents."""
     merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
     group = W.partitionBy(*keys, "ratio")
     ranked = merged.withColumn("below", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group))
-    reach = lambda k: F.min(F.when(F.col("below") * 4 >= F.col("docs") * k, F.col("bucket")))
-    return ranked.groupBy(*keys, "ratio").agg(F.max("docs").alias("docs"), reach(1).alias("q1"), reach(3).alias("q3"))
+    reach = lambda k: F.min(F.when(F.col("below") * 10 >= F.col("docs") * k, F.col("bucket")))
+    return ranked.groupBy(*keys, "ratio").agg(F.max("docs").alias("docs"), reach(1).alias("q10"), reach(5).alias("q50"), reach(9).alias("q90"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
     """One row for each (lang, source): the least and greatest value of each ratio that passes."""
-    own = _quartiles(sketch, ["lang", "source"])
-    lang = _quartiles(sketch, ["lang"]).select(F.col("lang").alias("l2"), F.col("ratio").alias("r2"), F.struct("docs", "q1", "q3").alias("by_lang"))
-    every = _quartiles(sketch, []).select(F.col("ratio").alias("r3"), F.struct("docs", "q1", "q3").alias("by_all"))
+    values = ("docs", "q10", "q50", "q90")
+    own = _quantiles(sketch, ["lang", "source"])
+    lang = _quantiles(sketch, ["lang"]).select(F.col("lang").alias("l2"), F.col("ratio").alias("r2"), F.struct(*values).alias("by_lang"))
+    every = _quantiles(sketch, []).select(F.col("ratio").alias("r3"), F.struct(*values).alias("by_all"))
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("ratio") == F.col("r2"))).join(every, F.col("ratio") == F.col("r3"))
-    use = F.when(F.col("docs") >= GROUP, F.struct("docs", "q1", "q3")).when(F.col("by_lang.docs") >= GROUP, F.col("by_lang")).otherwise(F.col("by_all"))
+    use = F.when(F.col("docs") >= GROUP, F.struct(*values)).when(F.col("by_lang.docs") >= GROUP, F.col("by_lang")).otherwise(F.col("by_all"))
     joined = joined.withColumn("use", use)
-    least = F.create_map(*[F.lit(x) for kv in SPREADS.items() for x in kv])
-    spread = FENCE * F.greatest(F.col("use.q3") - F.col("use.q1"), least[F.col("ratio")].cast("long"))
-    limits = joined.select("lang", "source", "ratio", F.struct((F.col("use.q1") - spread).alias("low"), (F.col("use.q3") + spread).alias("high")).alias("f"))
-    return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == k, F.col("f.low"))).alias(f"{k}_low") for k in SPREADS], *[F.max(F.when(F.col("ratio") == k, F.col("f.high"))).alias(f"{k}_high") for k in SPREADS])
+    low = F.col("use.q10") - FENCE * (F.col("use.q50") - F.col("use.q10"))
+    high = _top(F.col("use.q90")) + FENCE * (F.col("use.q90") - F.col("use.q50"))
+    limits = joined.select("lang", "source", "ratio", F.struct(low.alias("low"), high.alias("high")).alias("f"))
+    return limits.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == k, F.col("f.low"))).alias(f"{k}_low") for k in ALLOWED], *[F.max(F.when(F.col("ratio") == k, F.col("f.high"))).alias(f"{k}_high") for k in ALLOWED])
 
 
 def quality_rules(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Statistics, ``base_failed``, the failed ratios and ``kept`` of each row of ``df``.
 
     A null or empty text has no words and fails the base rules. Null languages and sources
-    form groups of their own. Equal rows get equal verdicts; other columns are not read.
+    form groups of their own. Equal rows get equal verdicts, each counts in the sketches; an empty
+    table gives no rows; other columns are not read and may have any names.
     """
     slim = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     stats = work.save(text_statistics(slim, ["id", "lang", "source"]))
@@ -153,13 +162,14 @@ def quality_rules(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_c
     limits = limits.withColumnsRenamed({"lang": "lang2", "source": "source2"})
     joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("lang2")) & F.col("source").eqNullSafe(F.col("source2")) & (F.col("salt") == F.col("salt2")), "left")
     ratio = _ratios()
-    allowed = F.expr(f"{SHORT} div greatest(n_words, 1)")
-    bad = [F.when((ratio["length"] > F.col("length_high") + allowed) | (ratio["length"] < F.col("length_low") - allowed), F.lit("length"))]
-    bad += [F.when(ratio[k] > F.col(f"{k}_high"), F.lit(k)) for k in SPREADS if k != "length"]
+    unit = {k: F.expr(f"1000 * {n} div greatest({'n_lines' if k == 'dup_lines' else 'n_words'}, 1)") for k, n in ALLOWED.items()}
+    bad = [F.when((ratio[k] > F.col(f"{k}_high") + unit[k]) | (F.lit(k == "length") & (ratio[k] < F.col(f"{k}_low") - unit[k])), F.lit(k)) for k in ALLOWED]
     base = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
     failed = F.array_compact(F.array(*bad))
     out = joined.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), failed.alias("failed_ratios"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_ratios") == 0))
+    out = work.save(out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_ratios") == 0)))
+    work.drop_others(out)
+    return out
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,23 +193,20 @@ with docs as (
   from docs left join repeats r using (row) left join lines l using (row)
 ), ratios as (
   select row, unnest([
-    {{'ratio': 'length', 'v': 1000 * word_chars // greatest(n_words, 1), 'spread': {SPREADS["length"]}}}, {{'ratio': 'symbols', 'v': 1000 * n_symbols // greatest(n_words, 1), 'spread': {SPREADS["symbols"]}}},
-    {{'ratio': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1), 'spread': {SPREADS["dup_lines"]}}}, {{'ratio': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1), 'spread': {SPREADS["repeats"]}}}], recursive := true)
+    {{'ratio': 'length', 'v': 1000 * word_chars // greatest(n_words, 1), 'unit': 1000 * {ALLOWED["length"]} // greatest(n_words, 1)}}, {{'ratio': 'symbols', 'v': 1000 * n_symbols // greatest(n_words, 1), 'unit': 1000 * {ALLOWED["symbols"]} // greatest(n_words, 1)}},
+    {{'ratio': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1), 'unit': 1000 * {ALLOWED["dup_lines"]} // greatest(n_lines, 1)}}, {{'ratio': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1), 'unit': 1000 * {ALLOWED["repeats"]} // greatest(n_words, 1)}}], recursive := true)
   from stats where n_words > 0
 ), buckets as (
-  select lang, source, ratio, spread, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) as b from ratios join stats using (row)
-), own as (select lang, source, ratio, spread, count(*) as docs, quantile_disc(b, 0.25) as q1, quantile_disc(b, 0.75) as q3 from buckets group by all
-), langs as (select lang, ratio, count(*) as docs, quantile_disc(b, 0.25) as q1, quantile_disc(b, 0.75) as q3 from buckets group by all
-), every as (select ratio, count(*) as docs, quantile_disc(b, 0.25) as q1, quantile_disc(b, 0.75) as q3 from buckets group by all
+  select lang, source, ratio, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) as b from ratios join stats using (row)
+), own as (select lang, source, ratio, len(l) as docs, l[(len(l) + 9) // 10] as q10, l[(5 * len(l) + 9) // 10] as q50, l[(9 * len(l) + 9) // 10] as q90 from (select lang, source, ratio, list_sort(list(b)) as l from buckets group by all)
+), langs as (select lang, ratio, len(l) as docs, l[(len(l) + 9) // 10] as q10, l[(5 * len(l) + 9) // 10] as q50, l[(9 * len(l) + 9) // 10] as q90 from (select lang, ratio, list_sort(list(b)) as l from buckets group by all)
+), every as (select ratio, l[(len(l) + 9) // 10] as q10, l[(5 * len(l) + 9) // 10] as q50, l[(9 * len(l) + 9) // 10] as q90 from (select ratio, list_sort(list(b)) as l from buckets group by all)
 ), used as (
-  select o.lang, o.source, o.ratio, spread,
-         case when o.docs >= {GROUP} then o.q1 when l.docs >= {GROUP} then l.q1 else e.q1 end as q1,
-         case when o.docs >= {GROUP} then o.q3 when l.docs >= {GROUP} then l.q3 else e.q3 end as q3
+  select o.lang, o.source, o.ratio, case when o.docs >= {GROUP} then struct_pack(a := o.q10, m := o.q50, z := o.q90) when l.docs >= {GROUP} then struct_pack(a := l.q10, m := l.q50, z := l.q90) else struct_pack(a := e.q10, m := e.q50, z := e.q90) end as q
   from own o join langs l on o.lang is not distinct from l.lang and o.ratio = l.ratio join every e on o.ratio = e.ratio
 ), failed as (
   select distinct r.row from ratios r join stats s using (row) join used u on s.lang is not distinct from u.lang and s.source is not distinct from u.source and r.ratio = u.ratio
-  where v > q3 + {FENCE} * greatest(q3 - q1, u.spread) + case when r.ratio = 'length' then {SHORT} // greatest(n_words, 1) else 0 end
-     or r.ratio = 'length' and v < q1 - {FENCE} * greatest(q3 - q1, u.spread) - {SHORT} // greatest(n_words, 1)
+  where v > q.z + (1 << greatest(length(bin(q.z)) - 8, 0)) - 1 + {FENCE} * (q.z - q.m) + unit or r.ratio = 'length' and v < q.a - {FENCE} * (q.m - q.a) - unit
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
        not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and f.row is null as kept
