@@ -9,10 +9,11 @@
    joined them. Alternating stars give components. Large buckets whose members still lie in
    several components get further heads while that joins many of them.
 3. What is left is compared in blocks of bounded size, by signature alone: the members outside the
-   main component of a bucket against all others. A block proposes the likeliest pairs that
-   span its components in so many forests; they are confirmed on full sets, and while a block
-   withholds pairs between components that are still apart, it runs again with more forests.
-   So no group is expanded into all its pairs, no text travels with a bucket, and no candidate
+   main component of a bucket against all others, each pair in the first band that it shares. A
+   block proposes the likeliest pairs that span its components in a few forests, which are
+   confirmed on full sets. The members of pairs that it withholds meet again in blocks with their
+   texts, where all pairs between components that are still apart are decided on full sets.
+   So no group is expanded into all its pairs, few texts travel with a bucket, and no candidate
    that could join two components is left unchecked.
 """
 
@@ -27,13 +28,16 @@ from pyspark.sql import functions as F
 from .common import Workspace, broadcast_if_small, join_by_key, map_arrow, table
 from .components import connected_components
 
-#: Bands and rows of each: a pair of similarity 0.8 shares no band with probability 3e-6.
-BANDS, ROWS = 32, 5
-#: Signature agreement may fall so many standard deviations below the threshold.
-SLACK = 5.5
-#: Rows of one side of a block; buckets of more members get further heads first.
-BLOCK = 1024
-#: Forests of proposed pairs in the first pass over blocks, and how many times more in each next pass.
+#: Bands and rows of each: a pair of similarity 0.8 shares no band with probability 5e-6.
+BANDS, ROWS = 40, 6
+#: Minima of a signature; the bands take the first of them.
+HASHES = 440
+#: Signature agreement may fall so many standard deviations below the threshold, which a pair at the
+#: threshold does with probability 1e-6.
+SLACK = 4.75
+#: Rows of one side of a block, and shingles of its texts; buckets of more rows get further heads first.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+#: Forests of pairs that a block proposes.
 FORESTS = 4
 #: Pairs that are confirmed beside one copy of their common text.
 CHUNK_PAIRS = 256
@@ -79,15 +83,15 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int) -> DataF
 
         from .shingles import mix, shingle_sets, text_bytes
 
-        family = hash_family(BANDS * ROWS)
+        family = hash_family(HASHES)
 
         def work(batch):
             sets = shingle_sets(*text_bytes(batch.column(1)), width)
             full = [i for i, s in enumerate(sets) if len(s)]
-            sig = minima([sets[i] for i in full], family) if full else np.zeros((0, BANDS * ROWS), np.uint32)
+            sig = minima([sets[i] for i in full], family) if full else np.zeros((0, HASHES), np.uint32)
             keys = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(full), BANDS))
             for r in range(ROWS):
-                keys = mix(keys ^ sig[:, r::ROWS].astype(np.uint64)) * np.uint64(3)
+                keys = mix(keys ^ sig[:, r : BANDS * ROWS : ROWS].astype(np.uint64)) * np.uint64(3)
             keys = keys.view(np.int64)
             low = sig.astype(np.uint8)
             classes, sigs, bands = ([None] * len(sets) for _ in range(3))
@@ -106,7 +110,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int) -> DataF
 
 def _agreement_floor(threshold: float) -> int:
     """Least number of equal signature bytes of a pair at the threshold, with slack."""
-    n = BANDS * ROWS
+    n = HASHES
     p = threshold + (1 - threshold) / 256
     return int(n * p - SLACK * np.sqrt(n * p * (1 - p)))
 
@@ -187,9 +191,8 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def spanning(pairs: list[tuple[int, int]], forests: int) -> tuple[list[int], bool]:
-    """Places of the pairs (of components) that join trees of one of so many forests, taken in
-    order, and whether any pair was left out."""
+def spanning(pairs: list[tuple[int, int]], forests: int) -> list[int]:
+    """Places of the pairs (of components) that join trees of one of so many forests, taken in order."""
     roots: list[dict[int, int]] = [{} for _ in range(forests)]
 
     def root(of: dict[int, int], c: int) -> int:
@@ -206,37 +209,13 @@ def spanning(pairs: list[tuple[int, int]], forests: int) -> tuple[list[int], boo
                 of[max(x, y)] = min(x, y)
                 out.append(i)
                 break
-    return out, len(out) < len(pairs)
+    return out
 
 
-def proposed_in_blocks(rows: DataFrame, percent: int, forests: int) -> DataFrame:
-    """Pairs (u, v) to confirm, from blocks of (bucket, i, j, outside, node, component, n, signature).
-
-    The outside rows of a block meet its other rows of different components. A block that withholds
-    a pair says so in a row whose ``withheld`` is true and whose ends are null.
-    """
-    floor = _agreement_floor(percent / 100)
-
-    def propose(block: list) -> tuple[list[tuple[int, int]], bool]:
-        flags, node, comp, n, sig = (np.concatenate([b[k] for b in block]) for k in range(5))
-        outer, inner = np.flatnonzero(flags), np.flatnonzero(~flags)
-        if not len(outer) or not len(inner):
-            return [], False
-        comps, sizes, sigs = comp[inner], n[inner], sig[inner]
-        found = []
-        for r in outer:
-            fits = np.flatnonzero((comps != comp[r]) & (100 * np.minimum(sizes, n[r]) >= percent * np.maximum(sizes, n[r])))
-            if len(fits):
-                agree = (sigs[fits] == sig[r]).sum(1)
-                close = agree >= floor
-                found.append(np.stack([agree[close], np.full(close.sum(), r), inner[fits[close]]]))
-        if not found:
-            return [], False
-        agree, a, b = np.concatenate(found, 1)
-        order = np.lexsort((node[b], node[a], -agree))
-        a, b = a[order], b[order]
-        chosen, withheld = spanning(list(zip(comp[a].tolist(), comp[b].tolist())), forests)
-        return [(min(x, y), max(x, y)) for x, y in zip(node[a[chosen]].tolist(), node[b[chosen]].tolist())], withheld
+def _in_blocks(rows: DataFrame, schema: str, decide) -> DataFrame:
+    """What ``decide`` returns, as lists for the columns of ``schema``, for each block of ``rows``: its
+    bucket, then for its rows the columns from the fourth on, as NumPy arrays or lists."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         import pyarrow as pa
@@ -244,29 +223,104 @@ def proposed_in_blocks(rows: DataFrame, percent: int, forests: int) -> DataFrame
         key, block = None, []
 
         def out():
-            pairs, withheld = propose(block)
-            us, vs = ([p[k] for p in pairs] + [None] * withheld for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array([False] * len(pairs) + [True] * withheld, pa.bool_())], names=["u", "v", "withheld"])
+            columns = decide(key[0], [np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, []) for c in zip(*block)])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            flags = batch.column(3).to_numpy(zero_copy_only=False)
-            values = [batch.column(i).to_numpy() for i in (4, 5, 6)]
-            sigs = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
-                if tuple(keys[a]) != key:
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if tuple(keys[a].tolist()) != key:
                     if block:
                         yield out()
-                    key, block = tuple(keys[a]), []
-                block.append((flags[a:b], *(x[a:b] for x in values), sigs[a:b]))
+                    key, block = tuple(keys[a].tolist()), []
+                part = [batch.column(i).slice(a, b - a) for i in range(3, batch.num_columns)]
+                flags, *numbers = (x.to_numpy(zero_copy_only=False) for x in part[:4])
+                sigs = np.frombuffer(b"".join(part[4].to_pylist()), np.uint8).reshape(b - a, -1)
+                bands = np.array(part[5].flatten(), np.int32).reshape(b - a, -1)
+                block.append((flags, *numbers, sigs, bands, *(x.cast("binary").to_pylist() for x in part[6:])))
         if block:
             yield out()
 
     dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(run, "u long, v long, withheld boolean")
+    return dealt.mapInArrow(run, schema)
+
+
+def _likely(bucket: int, flags, comp, n, sig, bands, percent: int, floor: int):
+    """Pairs of a block as rows (agreement, outside row, other row), likeliest first: of different
+    components, of fitting sizes, with enough agreement, and in no earlier bucket together. Buckets and
+    bands are compared by 32 bits; a pair is missed by this with probability 1e-8."""
+    outer, inner = np.flatnonzero(flags), np.flatnonzero(~flags)
+    comps, sizes, sigs, own = comp[inner], n[inner], sig[inner], np.int32(bucket >> 32)
+    found = [np.zeros((3, 0), np.int64)]
+    for r in outer if len(inner) else ():
+        fits = np.flatnonzero((comps != comp[r]) & (100 * np.minimum(sizes, n[r]) >= percent * np.maximum(sizes, n[r])))
+        agree = (sigs[fits] == sig[r]).sum(1)
+        close = np.flatnonzero(agree >= floor)
+        if len(close):
+            shared = bands[inner[fits[close]]] == bands[r]
+            close = close[bands[r][shared.argmax(1)] == own]
+            found.append(np.stack([agree[close], np.full(len(close), r), inner[fits[close]]]))
+    found = np.concatenate(found, 1)
+    return found[:, np.lexsort((found[2], found[1], -found[0]))]
+
+
+def proposed_in_blocks(rows: DataFrame, percent: int, forests: int) -> DataFrame:
+    """Pairs (u, v) to confirm from blocks of (bucket, i, j, outside, node, component, n, signature,
+    bands), and the members of withheld pairs as rows (bucket, u, null)."""
+    floor = _agreement_floor(percent / 100)
+
+    def decide(bucket, block):
+        flags, node, comp, n, sig, bands = block
+        _, a, b = _likely(bucket, flags, comp, n, sig, bands, percent, floor)
+        chosen = spanning(list(zip(comp[a].tolist(), comp[b].tolist())), forests)
+        u, v = np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+        left = np.ones(len(a), bool)
+        left[chosen] = False
+        held = np.unique(np.concatenate([u[left], v[left]])).tolist()
+        u, v = u[chosen].tolist() + held, v[chosen].tolist() + [None] * len(held)
+        return [bucket] * len(u), u, v
+
+    return _in_blocks(rows, "bucket long, u long, v long", decide)
+
+
+def linked_in_blocks(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) from blocks as above with the texts of their rows. Two components that a link has
+    joined are not compared again in a block, so it has fewer links than components."""
+    floor = _agreement_floor(percent / 100)
+
+    def decide(bucket, block):
+        import pyarrow as pa
+
+        from .shingles import shingle_sets, text_bytes
+
+        flags, node, comp, n, sig, bands, texts = block
+        sets: dict[int, np.ndarray] = {}
+        joined: dict[int, int] = {}
+        us, vs = [], []
+
+        def root(c):
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
+
+        def set_of(i):
+            if i not in sets:
+                sets[i] = shingle_sets(*text_bytes(pa.array([texts[i]], pa.binary()).cast(pa.string())), width)[0]
+            return sets[i]
+
+        _, first, second = _likely(bucket, flags, comp, n, sig, bands, percent, floor)
+        for a, b in zip(first.tolist(), second.tolist()):
+            x, y = root(int(comp[a])), root(int(comp[b]))
+            if x != y and _linked(set_of(a), set_of(b), percent):
+                joined[max(x, y)] = min(x, y)
+                us.append(int(min(node[a], node[b])))
+                vs.append(int(max(node[a], node[b])))
+        return us, vs
+
+    return _in_blocks(rows, "u long, v long", decide)
 
 
 class _Links:
@@ -285,14 +339,17 @@ class _Links:
             pairs = pairs.join(broadcast_if_small(part, BROADCAST_ROWS), end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
         apart = work.save(pairs.where("c_u <> c_v").select("u", "v").distinct())
         if not apart.isEmpty():
-            links = confirmed(apart, self.docs, self.width, self.percent, work)
-            if not links.isEmpty():
-                edges = links.union(self.parts.where("node <> component"))
-                old, self.parts = self.parts, work.save(connected_components(edges, work))
-                work.drop(old)
-            work.drop(links)
+            self.join(confirmed(apart, self.docs, self.width, self.percent, work))
         work.drop(apart)
 
+    def join(self, links: DataFrame) -> None:
+        """Take confirmed links (a saved table) into the components."""
+        if not links.isEmpty():
+            edges = links.union(self.parts.where("node <> component"))
+            old, self.parts = self.parts, self.work.save(connected_components(edges, self.work))
+            self.work.drop(old)
+        self.work.drop(links)
+
     def star(self, pairs: DataFrame) -> None:
         """Confirm what passes of pairs (u, v): for each v its likeliest u first, then the others."""
         work = self.work
@@ -336,26 +393,32 @@ class _Links:
             self.work.drop(rows, *([] if heads is None else [heads]))
             heads = chosen
 
+    def dealt(self, rows: DataFrame, carried: list[str]) -> DataFrame:
+        """Blocks of the rows of open buckets: each side split by rows and by shingles."""
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("size_n"), F.sum(F.col("outside").cast("long")).alias("out"), F.sum(F.when(F.col("outside"), F.col("n"))).alias("out_n"))
+        sizes = self.work.save(sizes.where("out > 0"))
+        parts = lambda count, n: F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(F.col(n) / BLOCK_SHINGLES)).cast("int")
+        full = join_by_key(rows, sizes, "bucket", "size", BROADCAST_ROWS)
+        full = full.withColumns({"m": parts("size", "size_n"), "o": parts("out", "out_n"), "salt": F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")})
+        ends = self.nodes.select("node", "signature", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("bands"))
+        full = full.join(ends, "node")
+        if "text" in carried:
+            full = full.join(self.docs.join(broadcast_if_small(rows.select("node").distinct(), BROADCAST_ROWS), "node", "left_semi"), "node")
+        inner = full.select("bucket", F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("i"), (F.col("salt") % F.col("m")).alias("j"), F.lit(False).alias("outside"), *carried)
+        outer = full.where("outside").select("bucket", (F.col("salt") % F.col("o")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), F.lit(True).alias("outside"), *carried)
+        return inner.unionByName(outer)
+
     def blocks(self, rows: DataFrame) -> None:
-        """Compare what is open in blocks until no block withholds a pair."""
-        forests = FORESTS
-        while not rows.isEmpty():
-            size = self.work.save(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.col("outside").cast("long")).alias("out")))
-            dealt = join_by_key(rows, size, "bucket", "size", BROADCAST_ROWS)
-            salt = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
-            m, o = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("size", "out"))
-            full = dealt.withColumns({"m": m, "o": o, "salt": salt}).join(self.nodes.select("node", "signature"), "node")
-            carried = ["node", "component", "n", "signature"]
-            inner = full.select("bucket", F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("i"), (F.col("salt") % F.col("m")).alias("j"), F.lit(False).alias("outside"), *carried)
-            outer = full.where("outside").select("bucket", (F.col("salt") % F.col("o")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), F.lit(True).alias("outside"), *carried)
-            found = self.work.save(proposed_in_blocks(inner.unionByName(outer), self.percent, forests))
-            self.confirm(found.where("not withheld").select("u", "v").distinct())
-            done = found.where("withheld").isEmpty()
-            self.work.drop(size, found, rows)
-            if done:
-                return
-            forests *= FORESTS
-            rows = self.open_rows()
+        """Compare what is open in blocks, and what these withhold in blocks with texts."""
+        work, carried = self.work, ["node", "component", "n", "signature", "bands"]
+        if rows.isEmpty():
+            return
+        found = work.save(proposed_in_blocks(self.dealt(rows, carried), self.percent, FORESTS))
+        self.confirm(found.where("v is not null").select("u", "v").distinct())
+        held = work.save(found.where("v is null").select("bucket", F.col("u").alias("node")).distinct())
+        if not held.isEmpty():
+            rows = work.save(self.open_rows().join(broadcast_if_small(held, BROADCAST_ROWS), ["bucket", "node"], "left_semi"))
+            self.join(work.save(linked_in_blocks(self.dealt(rows, [*carried, "text"]), self.width, self.percent)))
 
 
 def near_duplicates(df: DataFrame, work: Workspace, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -164,9 +164,34 @@ def test_chains_and_near_groups(spark, work):
 
 def test_blocks_split_large_buckets(spark, work, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 4)
+    monkeypatch.setattr(minhash_dedup, "FORESTS", 1)
+    monkeypatch.setattr(minhash_dedup, "CHUNK_PAIRS", 2)
     test_chains_and_near_groups(spark, work)
 
 
+def test_hot_keys_are_split(spark, work, monkeypatch):
+    """Without broadcasts, and with keys of more than two rows split off, the components are the same."""
+    from featuregrid.llm import common, components
+
+    for module in (minhash_dedup, components):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(common, "HOT", 2)
+    copies = [(k, f"{'same words in every copy of this text ' * 3} {k % 3}") for k in range(60)]
+    want = brute_components(copies, 2)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string"), work, width=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_words_of_two_letters_do_not_collide(spark, work):
+    """Words that polynomial hashes modulo a power of two confuse are told apart."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, f"{word} {other}"), (2, f"{other} {word}"), (3, f"{word} {word}")], "doc_id long, text string")
+    assert all(r["kept"] for r in minhash_dedup.near_duplicates(df, work, width=2).collect())
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, none, work):
     rows = minhash_dedup.near_duplicates(odd, work, width=2).collect()
     got = defaultdict(set)
