@@ -483,6 +483,47 @@ def test_pii_takes_no_squared_time(spark):
     assert pii.find_pii(runs).select(F.size("pii").alias("n")).agg(F.sum("n")).first()[0] is not None
 
 
+def test_pii_of_many_matches(spark):
+    """A text of 100,000 matches takes linear time, with all spans and the redacted text right."""
+    import time
+
+    text = "".join(f"é{k} u{k}@mail.example.com\n" for k in range(100_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    found = pii.find_pii(df)
+    spans = found.first()["pii"]
+    assert [(s["start"], s["end"]) for s in spans] == [m.span() for m in re.finditer(r"u\d+@mail.example.com", text)]
+    assert {s["score"] for s in spans} == {1.0}
+    assert pii.redact(found).first()["text"] == re.sub(r"u\d+@mail.example.com", "[email]", text)
+    assert time.perf_counter() - began < 60
+
+
+def test_pii_scores_by_context(spark):
+    texts = [(1, "host 10.0.0.1 x"), (2, "10.0.0.1 is the server"), (3, "see 10.0.0.1 please"), (4, "ship 10.0.0.1"), (5, "no 123-45-6789"), (6, "123-45-6789 is my ssn"), (7, "server 10.0.0.1, 10.0.0.2")]
+    rows = {r["doc_id"]: [(s["kind"], s["score"]) for s in r["pii"]] for r in pii.find_pii(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert rows == {1: [("ip", 1.0)], 2: [("ip", 1.0)], 3: [("ip", 0.7)], 4: [("ip", 0.7)], 5: [], 6: [("ssn", 0.6)], 7: [("ip", 1.0)] * 2}
+
+
+def test_redaction_of_overlapping_spans(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(300):
+        text = "".join(rng.choice("ab\n😀é") for _ in range(rng.randrange(0, 5000 if k % 50 == 0 else 60)))
+        spans = [(rng.choice("xyz"), *sorted(rng.sample(range(len(text) + 1), 2)), 1.0) for _ in range(rng.randrange(0, 200 if k % 50 == 0 else 6)) if len(text) > 2]
+        rows.append((k, text, spans))
+
+    def brute(text, spans):
+        out, at = "", 0
+        for kind, a, b, _ in sorted(spans, key=lambda s: (s[1], -s[2], s[0])):
+            if a >= at:
+                out += text[at:a] + f"[{kind}]"
+            at = max(at, b)
+        return out + text[at:]
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii array<struct<kind:string,start:int,end:int,score:double>>")
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()} == {k: brute(t, s) for k, t, s in rows}
+
+
 # Chats
 
 
