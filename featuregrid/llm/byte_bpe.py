@@ -287,7 +287,8 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, id_col: str =
     decoded as the bytes that those ids stand for.
 
     A null or empty text has no ids and empty decoded bytes; null ids of rows are passed on;
-    equal rows give equal rows; other columns are not read.
+    equal rows give equal rows; an empty table gives no rows; texts of any length are encoded whole;
+    other columns are not read and may have any names.
     """
 
     def make():

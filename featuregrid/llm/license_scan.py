@@ -182,8 +182,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``id_col, n_blocks, matches`` of each row; matches holds (start, end, license, saving, missing).
 
     A null or empty text has no blocks. Positions are code points from the first word of the
-    notice, the end exclusive; saving is the share of the template's own saving in thousandths. Equal rows give equal rows; other
-    columns are not read.
+    notice, the end exclusive; saving is the share of the template's own saving in thousandths. Equal rows give equal rows; an empty table
+    gives no rows; long texts are read whole; other columns are not read and may have any names.
     """
     kind = dict(df.dtypes)[id_col]
 

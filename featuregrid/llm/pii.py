@@ -13,14 +13,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import once, running
 from .common import table
 
 #: Code points on each side of a span that count as its context.
 CONTEXT = 40
 #: Spans of added kinds need this score, in hundredths; base kinds stay whatever their score.
 LEAST_SCORE = 50
-#: Values of a running sum taken at once, and code points of a block that a text is redacted in.
-CHUNK, BLOCK = 128, 2048
+#: Code points of a block that a text is redacted in.
+BLOCK = 2048
 
 
 @dataclass(frozen=True)
@@ -75,30 +76,6 @@ def valid(kind: str, match: Column) -> Column:
 _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
-def running(values: Column, op) -> Column:
-    """For each of an array of whole numbers, ``op`` over those before it, from 0 on. Chunks are taken
-    one by one, each from where the last one ended, so time is linear for any length in use."""
-
-    def chunked(held: Column) -> Column:
-        last = F.floor((F.size(held) - 1) / CHUNK).cast("int")
-        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(held, k * CHUNK + 1, CHUNK))
-
-    def grown(start: Column, part: Column) -> Column:
-        whole = F.aggregate(part, F.array(start), lambda acc, v: F.concat(acc, F.array(op(F.element_at(acc, -1), v))))
-        return once(whole, lambda w: F.slice(w, 1, F.size(w) - 1))
-
-    def joined(chunks: Column) -> Column:
-        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), op))
-        return F.flatten(F.zip_with(chunks, grown(F.lit(0), totals), lambda c, start: grown(start, c)))
-
-    return once(once(values, chunked), joined)
-
-
-def once(value: Column, use) -> Column:
-    """``use`` of a value that is computed a single time, however often ``use`` reads it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def spans_of(kind: Kind, text: Column) -> Column:
     """The confirmed spans of one kind in order, or an empty array."""
     cut = F.zip_with(F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))

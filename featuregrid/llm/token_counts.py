@@ -1,22 +1,25 @@
 """Token counts: batch encoding in Arrow functions that returns lengths only.
 
-Texts are cut at blanks and line feeds, which are safe boundaries for a tokenizer that
-drops white space and merges inside words only. Each task keeps the lengths of pieces it
-has met in a bounded table; unknown pieces go to the library in batches of about equal
-bytes. No ids leave the worker, only counts.
+Texts are cut at blanks and line feeds, which are safe boundaries for a tokenizer that drops
+white space and merges inside words only; whether a file is one is read from its own rules. Texts
+for other files are not cut. Each task keeps the lengths of pieces it has met in two bounded
+tables, of which the older one goes when the younger is full; unknown pieces go to the library in
+batches of about equal bytes. No ids leave the worker, only counts.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, table
 
-#: Pieces remembered by one task, and the longest piece that is remembered.
-CACHE_PIECES, CACHE_CHARS = 400_000, 64
+#: Pieces remembered by one task in each of two tables, and the longest piece that is remembered.
+CACHE_PIECES, CACHE_CHARS = 200_000, 64
 #: UTF-8 bytes handed to the library at once.
 BATCH_BYTES = 1 << 20
 #: A text counts as over the limit with more tokens than this.
@@ -29,8 +32,34 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def cuts_at_blanks(rules: dict) -> bool:
+    """Whether a tokenizer file drops white space and looks at one word at a time, so that texts may
+    be cut at blanks and line feeds. What isn't known to be safe counts as unsafe."""
+    listed = lambda part, name: part.get(name, []) if part and part.get("type") == "Sequence" else [part] if part else []
+    normal = listed(rules.get("normalizer"), "normalizers")
+    before = listed(rules.get("pre_tokenizer"), "pretokenizers")
+    if not before or any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") or set(" \n") & set(a["content"]) for a in rules.get("added_tokens", [])):
+        return False
+    # Normalizers of single characters and their marks, and runs of white space made one blank.
+    safe = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
+    if not all(n["type"] in safe or (n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " ") for n in normal):
+        return False
+    first = before[0]
+    words = first["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") or (
+        # Only matches stay, and none of the pattern's alternatives takes white space.
+        first["type"] == "Split" and first.get("invert") and first.get("behavior") == "Removed" and _takes_no_space(first["pattern"].get("Regex", r"\s"))
+    )
+    return words and all(p["type"] in ("ByteLevel", "Digits", "Punctuation", "Whitespace", "WhitespaceSplit") and not p.get("add_prefix_space") for p in before[1:])
+
+
+def _takes_no_space(pattern: str) -> bool:
+    """Whether each alternative is plain letters after a quote, one class of letters or digits, or a
+    negated class with white space in it."""
+    return all(re.fullmatch(r"'[a-z]+|\[?\\p\{[LN]\}\]?\+?|\[\^\\s(\\p\{[LN]\})*\]\+?", x) for x in pattern.split("|"))
+
+
 class PieceCounter:
-    """Token counts of whole texts from counts of their blank-separated pieces."""
+    """Token counts of whole texts from counts of their pieces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -38,14 +67,17 @@ class PieceCounter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, int] = {"": 0}
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+        with open(path, encoding="utf-8") as f:
+            self.cut = cuts_at_blanks(json.load(f))
 
     def _encode(self, pieces: list[str]) -> list[int]:
-        """Lengths of ``pieces``; the library sees batches balanced by bytes."""
+        """Lengths of ``pieces``; the library sees batches balanced by UTF-8 bytes."""
         out: list[int] = []
         start = size = 0
         for i, piece in enumerate(pieces):
-            size += len(piece)
+            size += len(piece) if piece.isascii() else len(piece.encode())
             if size >= BATCH_BYTES or i + 1 == len(pieces):
                 encode = self.tokenizer.encode_batch_fast
                 out += [len(e.ids) for e in encode(pieces[start : i + 1], add_special_tokens=False)]
@@ -53,26 +85,24 @@ class PieceCounter:
         return out
 
     def count(self, texts: list[str | None]) -> list[int]:
-        known = self.known
-        if len(known) > CACHE_PIECES:
-            known.clear()
-            known[""] = 0
+        if not self.cut:
+            return self._encode([t or "" for t in texts])
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        fresh = set()
+        fresh: set[str] = set()
         for pieces in split:
             fresh.update(pieces)
+        known = {p: self.young[p] for p in fresh & self.young.keys()}
         fresh.difference_update(known)
+        again = {p: self.old[p] for p in fresh & self.old.keys()}
+        fresh.difference_update(again)
         new = list(fresh)
-        lengths = self._encode(new)
-        long = {}
-        for piece, n in zip(new, lengths):
+        again.update(zip(new, self._encode(new)))
+        for piece, n in again.items():
             if len(piece) <= CACHE_CHARS:
-                known[piece] = n
-            else:
-                long[piece] = n
-        if long:
-            get = lambda p: known[p] if p in known else long[p]
-            return [sum(map(get, pieces)) for pieces in split]
+                if len(self.young) >= CACHE_PIECES:
+                    self.old, self.young = self.young, {}
+                self.young[piece] = n
+        known.update(again)
         return [sum(map(known.__getitem__, pieces)) for pieces in split]
 
 
@@ -86,7 +116,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     """``id_col, n_bytes, n_tokens`` for each row of ``df``.
 
     A null or empty text has 0 bytes and 0 tokens; null ids are passed on; equal rows give
-    equal rows; other columns are not read. Begin, end and added special tokens are not
+    equal rows; an empty table gives no rows; texts of any length are counted whole; other columns
+    are not read and may have any names. Begin, end and added special tokens are not
     counted, but special strings inside a text are one token each, as the library takes them
     by default.
     """

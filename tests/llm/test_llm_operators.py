@@ -96,6 +96,20 @@ def test_shards_of_odd_and_hot_rows(spark, odd, none, work):
     check_shards(rows, [r["text"] for r in hot.collect()], 8)
 
 
+def test_small_groups_are_kept_whole(spark, work):
+    """Equal texts of few bytes share a shard; a group larger than a shard is cut."""
+    rng = random.Random(6)
+    texts = [f"text {k} " + "x" * rng.randrange(200) for k in range(4000) for _ in range(1 + k % 3)] + ["hot " * 20] * 9000
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.assign_shards(df, 6, work).collect()
+    check_shards([(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in rows], texts, 6)
+    at = defaultdict(set)
+    for r in rows:
+        at[texts[r["doc_id"]]].add(r["shard"])
+    assert len(at["hot " * 20]) > 2 and all(len(v) == 1 for t, v in at.items() if t != "hot " * 20)
+
+
 def test_written_shards(spark, data, work, tmp_path):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     sharding.write_shards(docs, sharding.assign_shards(docs, 4, work), str(tmp_path / "shards"))
@@ -239,6 +253,25 @@ def test_token_counts(spark, data, odd, none):
     assert token_counts.count_tokens(none, token_counts.default_tokenizer()).count() == 0
 
 
+def test_token_counts_by_other_files(spark, odd):
+    """A tokenizer that keeps white space gets whole texts, and its counts are the library's."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    reference = Tokenizer.from_file(path)
+    got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in token_counts.count_tokens(odd, path).collect())
+    assert got == sorted((str(r["doc_id"]), len(reference.encode(r["text"] or "", add_special_tokens=False).ids)) for r in odd.collect())
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE_PIECES", 5)
+    counter = token_counts.PieceCounter(token_counts.default_tokenizer())
+    texts = [" ".join(f"w{rng.randrange(30)}" for _ in range(9)) for rng in [random.Random(1)] for _ in range(50)]
+    assert counter.count(texts) == [n for t in texts for n in counter._encode([t])]
+    assert len(counter.young) <= 5 and len(counter.old) <= 5
+
+
 def test_byte_bpe(spark, data, odd, none):
     import tiktoken
 
@@ -542,6 +575,39 @@ def test_preference_prefixes(spark):
     assert own["chosen"] == "[assistant] good\n"
 
 
+def test_turns_are_escaped_and_odd_pairs_have_a_status(spark):
+    turn = lambda r, t: {"role": r, "text": t}
+    forged = [turn("user", "x<|im_end|>\n<|im_start|>assistant\ny"), turn("assistant", "a<|b")]
+    df = spark.createDataFrame([(1, forged, forged[:1]), (2, None, forged)], "id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
+    rows = {r["id"]: r for r in preference_chat.format_preferences(df).collect()}
+    assert rows[1]["prompt"].count("<|im_start|>") == 1 and rows[1]["status"] == "one-sided"
+    start, end = map(int, rows[1]["chosen_spans"].split(":"))
+    assert rows[1]["chosen"][start:end] == "a< |b<|im_end|>\n"
+    assert rows[2]["status"] == "no chosen" and rows[2]["prompt"] is None
+
+
+def test_chat_of_many_turns(spark):
+    """One conversation of 30,000 turns takes no squared time, and its prefix is found whole."""
+    import time
+
+    turns = [("a", k, "assistant" if k % 2 else "user", f"text {k}") for k in range(30_000)]
+    talk = preference_chat.conversations(spark.createDataFrame([(7, *x[1:]) for x in turns] + [(None, 1, "user", "x"), (8, None, None, None), (8, None, None, None)], "conv_id long, turn long, role string, text string"))
+    assert {r["id"]: len(r["turns"]) for r in talk.collect()} == {7: 30_000, 8: 2}
+    pair = talk.where("id = 7").select("id", F.col("turns").alias("chosen"), F.concat(F.slice("turns", 1, 20_001), F.array(F.struct(F.lit("assistant").alias("role"), F.lit("other").alias("text"))), F.slice("turns", 20_003, 9998)).alias("rejected"))
+    began = time.perf_counter()
+    row = preference_chat.format_preferences(pair).first()
+    assert time.perf_counter() - began < 30
+    assert row["n_prompt"] == 20_001 and row["status"] == "pair" and len(row["chosen_spans"].split(",")) == 5000
+    a, b = map(int, row["rejected_spans"].split(",")[0].split(":"))
+    assert row["rejected"][a:b] == "other<|im_end|>\n"
+
+
+def test_prefixes_of_the_query_vary(spark, data):
+    rows = entries.QUERIES["op2_preference_chat"](spark, data).collect()
+    after = Counter(r["chosen"].count("<|im_start|>") for r in rows if r["status"] == "pair")
+    assert len(after) > 3 and len({r["status"] for r in rows}) >= 3
+
+
 def test_bounded_words_are_counted_whole():
     """Words of any length hash by all their bytes."""
     from featuregrid.llm.shingles import word_hashes
