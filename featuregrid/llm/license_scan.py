@@ -48,7 +48,7 @@ def words_of(text: str) -> list[str]:
 class Scanner:
     """All templates, each with a compressor that knows it."""
 
-    def __init__(self):
+    def __init__(self, templates: tuple[tuple[str, str], ...] = tuple(TEMPLATES)):
         import zstandard
 
         def squeezer(raw: bytes | None = None):
@@ -57,7 +57,7 @@ class Scanner:
 
         self.plain = squeezer()
         self.templates = []
-        for name, wording in TEMPLATES:
+        for name, wording in templates:
             words = words_of(wording)
             raw = " ".join(words).encode()
             informed = squeezer(raw)
@@ -172,15 +172,18 @@ class Scanner:
         return out
 
 
-@functools.lru_cache(maxsize=1)
-def scanner() -> Scanner:
+@functools.lru_cache(maxsize=2)
+def scanner(more: tuple[tuple[str, str], ...] = ()) -> Scanner:
     """One scanner in each Python worker."""
-    return Scanner()
+    return Scanner((*TEMPLATES, *more))
 
 
-def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """``id_col, n_blocks, matches`` of each row; matches holds (start, end, license, saving, missing).
 
+    ``more`` holds further pairs of licence and wording, such as whole licence texts; a wording without
+    one of ``KEYWORDS`` is never looked for.
+
     A null or empty text has no blocks. Positions are code points from the first word of the
     notice, the end exclusive; saving is the share of the template's own saving in thousandths. Equal rows give equal rows; an empty table
     gives no rows; long texts are read whole; other columns are not read and may have any names.
@@ -190,7 +193,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def make():
         import pyarrow as pa
 
-        scan = scanner()
+        scan = scanner(more)
         match = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("saving", pa.int64()), ("missing", pa.int64())]))
 
         def work(batch):
