@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,8 +57,23 @@ def jet(level: Column) -> tuple[Column, Column, Column]:
     return ramp(0.75), ramp(0.5), ramp(0.25)
 
 
-def palette_color(label: Column, n: int = 32) -> tuple[Column, Column, Column]:
-    """A fixed colour for each label, clipped to n labels; label 0 is black."""
-    k = F.greatest(F.least(label.cast("int"), F.lit(n - 1)), F.lit(0))
-    channel = lambda step: F.when(k == 0, 0).otherwise(F.pmod(k * step + 40, F.lit(216)) + 40).cast("int")
-    return channel(67), channel(131), channel(29)
+#: Seed and range of the palette's channels.
+PALETTE_SEED, PALETTE_RANGE = 12345, (30, 245)
+
+
+def palette(n: int) -> np.ndarray:
+    """The colours of labels 0 to n - 1 as rows r, g, b; label 0 is black. More labels leave the
+    colours of the first ones as they are."""
+    table = np.random.default_rng(PALETTE_SEED).integers(*PALETTE_RANGE, size=(max(n, 1), 3), dtype=np.uint8)
+    table[0] = 0
+    return table
+
+
+def palette_color(label: Column, n: int) -> tuple[Column, Column, Column]:
+    """A fixed colour for each of n labels; labels beyond are clipped. For label planes with any number
+    of labels see ``operators.planes.painted``."""
+    table = palette(n).astype(int)
+    place = F.greatest(F.least(label.cast("int"), F.lit(n - 1)), F.lit(0))
+    channels = (F.expr("array(" + ", ".join(map(str, table[:, k])) + ")") for k in range(3))
+    r, g, b = (F.get(c, place) for c in channels)
+    return r, g, b

@@ -21,10 +21,13 @@ def safe_name(text: Column, longest: int = 180) -> Column:
     return F.substring(F.regexp_replace(cleaned, r"^[._]+|[._]+$", ""), 1, longest)
 
 
-def natural_key(text: Column, width: int = 12) -> Column:
-    """A string that sorts digit runs by value: each run is padded with zeros."""
+def natural_key(text: Column) -> Column:
+    """A string that sorts digit runs by value, whatever their length: each run without its leading
+    zeros follows the number of its digits, in four places."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, r"^0+(?=[0-9])", ""), width, "0")).otherwise(p)), "")
+    value = lambda p: F.regexp_replace(p, r"^0+(?=[0-9])", "")
+    counted = lambda p: F.concat(F.lpad(F.length(value(p)).cast("string"), 4, "0"), value(p))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), counted(p)).otherwise(p)), "")
 
 
 def short_method(key: Column, longest: int = 80) -> Column:

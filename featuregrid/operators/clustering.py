@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterable
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.weights import dist2
+from ..shared import shared_dir
 from .planes import once
 
 #: Points that are sampled at most, and the share; up to so many travel with a function.
@@ -104,9 +106,7 @@ def _blocks(sample: DataFrame, col: str) -> tuple[Callable[[], Iterable[np.ndarr
     if len(rows) <= MAX_SAMPLES:
         points = np.array([r[0] for r in rows], float)
         return lambda: [points], TOGETHER
-    spark = sample.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or "/tmp/checkpoints"
-    path = f"{root.rstrip('/')}/points-{uuid.uuid4().hex}"
+    path = f"{shared_dir(sample.sparkSession)}/points-{uuid.uuid4().hex}"
     sample.select(F.col(col).cast("array<double>").alias("p")).write.parquet(path)
 
     def read():
@@ -167,7 +167,7 @@ def mean_shift(df: DataFrame, sample: DataFrame, h: float, kind: str, max_iter:
                 moved = shift_points(np.array(part.column(at).to_pylist(), float), points, h, kind, max_iter, stop)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(moved.tolist(), pa.list_(pa.float64()))], names=[*columns, out])
 
-    return df.mapInArrow(run, df.schema.simpleString()[len("struct<") : -1] + f",`{out}`:array<double>")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
 def merge_modes(modes: DataFrame, threshold: float, order: str, col: str = "mode") -> DataFrame:

@@ -84,6 +84,8 @@ def standardise(df: DataFrame, dims: int, col: str = "features", keys: list[str]
 
 
 def check_pixel_count(pixels: DataFrame) -> DataFrame:
-    """Images with their row count, h and w; fails where the count is not h * w."""
+    """Images with their row count, h and w; an error where the count is not h * w. The check is part
+    of the column ``n``, so no plan that reads the counts leaves it out."""
     counts = pixels.groupBy("image_id").agg(F.count("*").alias("n"), F.first("h").alias("h"), F.first("w").alias("w"))
-    return counts.withColumn("checked", F.assert_true(F.col("n") == F.col("h") * F.col("w"))).drop("checked")
+    told = F.concat(F.lit("image "), F.col("image_id").cast("string"), F.lit(" has "), F.col("n").cast("string"), F.lit(" pixels of "), F.col("h").cast("string"), F.lit(" x "), F.col("w").cast("string"))
+    return counts.withColumn("n", F.when(F.col("n") == F.col("h") * F.col("w"), F.col("n")).otherwise(F.raise_error(told).cast("long")))

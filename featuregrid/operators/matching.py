@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .planes import with_arrays
+
 
 def compact(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
     """``df`` with labels 0..K-1 in the order of the distinct values of each key.
@@ -48,7 +50,7 @@ def row_normalised(counts: DataFrame, keys: list[str]) -> DataFrame:
 def many_to_one(counts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, pred, matched, overlap, is_extra: the gt label of largest overlap, the least on ties."""
     best = F.row_number().over(W.partitionBy(*keys, "pred").orderBy(F.desc("n"), F.asc("gt")))
-    return counts.withColumn("k", best).where("k = 1").select(*keys, "pred", F.col("gt").alias("matched"), F.col("n").alias("overlap"), F.lit(False).alias("is_extra"))
+    return counts.withColumn("__rank", best).where("__rank = 1").select(*keys, "pred", F.col("gt").alias("matched"), F.col("n").alias("overlap"), F.lit(False).alias("is_extra"))
 
 
 def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
@@ -84,34 +86,26 @@ def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return sorted((c, r) for r, c in pairs) if turned else sorted(pairs)
 
 
+def one_to_one(gt: np.ndarray, pred: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int, bool]]:
+    """(pred, matched, overlap, is_extra) for the cells of one table."""
+    n_gt, preds = int(gt.max()) + 1, np.unique(pred)
+    table = np.zeros((n_gt, len(preds)), np.int64)
+    table[gt, np.searchsorted(preds, pred)] = n
+    matched = {c: r for r, c in best_assignment(table)}
+    extra = iter(range(n_gt, n_gt + len(preds)))
+    return [(int(p), matched[c], int(table[matched[c], c]), False) if c in matched else (int(p), next(extra), int(table[:, c].max()), True) for c, p in enumerate(preds.tolist())]
+
+
 def hungarian(counts: DataFrame, keys: list[str]) -> DataFrame:
     """As ``many_to_one``, but one to one with the largest total overlap. Predicted labels left
     over get ids from the number of gt labels on, in their order, as extra labels whose
-    overlap is their best. A group holds the label pairs of one key, not its pixels."""
-    kinds = dict(counts.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", pred int, matched int, overlap long, is_extra boolean"
-
-    def solve(pdf):
-        import pandas as pd
-
-        n_gt, preds = int(pdf["gt"].max()) + 1, sorted(pdf["pred"].unique())
-        table = np.zeros((n_gt, len(preds)), np.int64)
-        table[pdf["gt"].to_numpy(), np.searchsorted(preds, pdf["pred"])] = pdf["n"]
-        matched = {c: r for r, c in best_assignment(table)}
-        extra, rows = n_gt, []
-        for c, pred in enumerate(preds):
-            if c in matched:
-                rows.append((pred, matched[c], table[matched[c], c], False))
-            else:
-                rows.append((pred, extra, table[:, c].max(), True))
-                extra += 1
-        out = pd.DataFrame(rows, columns=["pred", "matched", "overlap", "is_extra"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    slim = counts.select(*keys, F.col("gt").cast("int").alias("gt"), F.col("pred").cast("int").alias("pred"), "n")
-    return slim.groupBy(*keys).applyInPandas(solve, schema)
+    overlap is their best. The label pairs of a key, not its pixels, are one row, and many rows
+    are solved in one batch."""
+    cells = F.collect_list(F.struct(F.col("gt").cast("int").alias("gt"), F.col("pred").cast("int").alias("pred"), "n"))
+    rows = counts.groupBy(*keys).agg(cells.alias("__cells"))
+    rows = rows.select(*keys, *[F.col(f"__cells.{c}").alias(f"__{c}") for c in ("gt", "pred", "n")])
+    solved = with_arrays(rows, ["__gt", "__pred", "__n"], {"__m": "array<struct<pred:int,matched:int,overlap:bigint,is_extra:boolean>>"}, lambda g, p, n: ([dict(zip(("pred", "matched", "overlap", "is_extra"), m)) for m in one_to_one(g, p, n)],), keep=keys)
+    return solved.select(*keys, F.inline("__m"))
 
 
 def extra_ids(counts: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,7 +126,7 @@ def names_by_overlap(counts: DataFrame, names: DataFrame, keys: list[str], least
     ``pred`` of ``counts``, ``names`` has (keys, pred, name). Fewer than ``least`` common pixels
     give 'class_<id>'; an overlap with the background, label 0, gives 'background_or_<id>'."""
     best = F.row_number().over(W.partitionBy(*keys, "gt").orderBy(F.desc("n"), F.asc("pred")))
-    top = counts.withColumn("k", best).where("k = 1").join(names, [*keys, "pred"], "left")
+    top = counts.withColumn("__rank", best).where("__rank = 1").drop("__rank").join(names, [*keys, "pred"], "left")
     text = F.col("gt").cast("string")
     named = F.when(F.col("n") < least, F.concat(F.lit("class_"), text)).when(F.col("pred") == 0, F.concat(F.lit("background_or_"), text)).otherwise(F.coalesce("name", F.concat(F.lit("class_"), text)))
     return top.select(*keys, "gt", named.alias("class_name"))

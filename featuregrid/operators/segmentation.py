@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features, planes, regions
-from .clustering import MAX_SAMPLES, SAMPLE_RATIO, mode_settings
+from .clustering import MAX_SAMPLES, SAMPLE_RATIO, experiment_grid, mode_settings
 
 
 @dataclass(frozen=True)
@@ -102,8 +102,8 @@ def mean_shift_labels(x: np.ndarray, run: Run) -> np.ndarray:
     return nearest_index(x, flat_modes(points, run.bandwidth, run.max_iter))
 
 
-def segment(images: DataFrame, h: int, w: int, run: Run = Run()) -> DataFrame:
-    """image_id, h, w, labels, cleaned from rows (image_id, r, g, b) of planes of one size.
+def segment(images: DataFrame, h: planes.Side, w: planes.Side, run: Run = Run()) -> DataFrame:
+    """image_id, h, w, labels, cleaned from rows (image_id, r, g, b) of planes.
 
     Mean shift in the resizing modes works on smaller images, and so are its label planes.
     Texture spaces need a ``texture`` plane of arrays beside the colours.
@@ -113,10 +113,12 @@ def segment(images: DataFrame, h: int, w: int, run: Run = Run()) -> DataFrame:
     if scale != 1.0:
         if "texture" in names:
             raise ValueError("compute texture on the resized image")
-        images = images.select("image_id", *[F.transform(planes.resize_area(F.col(c), h, w, scale), lambda v: F.floor(v + 0.5).cast("int")).alias(c) for c in names])
-        h, w = planes.scaled_size(h, scale), planes.scaled_size(w, scale)
-    pixels = planes.to_pixels(images.select("image_id", *names), {c: c for c in names}, w).withColumns({"h": F.lit(h), "w": F.lit(w)})
-    vectors = features.feature_space(pixels, run.space).select("image_id", "y", "x", "features")
+        images = planes.resize_area(images.select("image_id", *names, planes.side(h).alias("h"), planes.side(w).alias("w")), names, F.col("h"), F.col("w"), scale)
+        images = images.select("image_id", "h", "w", *[F.transform(c, lambda v: F.floor(v + 0.5).cast("int")).alias(c) for c in names])
+    else:
+        images = images.select("image_id", planes.side(h).alias("h"), planes.side(w).alias("w"), *names)
+    pixels = planes.to_pixels(images, {c: c for c in names}, F.col("w"))
+    vectors = features.feature_space(pixels, run.space).select("image_id", "h", "w", "y", "x", "features")
     kind = dict(vectors.dtypes)["image_id"]
 
     def fit(pdf):
@@ -127,7 +129,19 @@ def segment(images: DataFrame, h: int, w: int, run: Run = Run()) -> DataFrame:
         if run.algorithm != "kmeans" and mode_settings(run.mode)["pca"]:
             x = leading_components(x)
         labels = kmeans_labels(x, run) if run.algorithm == "kmeans" else mean_shift_labels(x, run)
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "h": [h], "w": [w], "labels": [labels.tolist()]})
+        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "h": [pdf["h"].iloc[0]], "w": [pdf["w"].iloc[0]], "labels": [labels.tolist()]})
 
     fitted = vectors.groupBy("image_id").applyInPandas(fit, f"image_id {kind}, h int, w int, labels array<int>")
     return regions.clean(fitted, run.min_area)
+
+
+def run_grid(images: DataFrame, h: planes.Side, w: planes.Side, spaces: list[str], k: int = 5, bandwidths: tuple[float, ...] = (0.8, 1.5), mode: str = "1", **options) -> DataFrame:
+    """Every run of the experiment grid over all images: ``feature_set, algorithm, run`` and the
+    columns of ``segment``. Runs are independent plans whose rows are united."""
+    out = None
+    for cell in experiment_grid(spaces, k, bandwidths, mode):
+        run = Run(cell["space"], cell["algorithm"], mode, k=k, bandwidth=cell.get("bandwidth", 0.0), **options)
+        name = f"k={k}" if run.algorithm == "kmeans" else f"{cell['mode']} h={run.bandwidth}"
+        rows = segment(images, h, w, run).select(F.lit(run.space).alias("feature_set"), F.lit(run.algorithm).alias("algorithm"), F.lit(name).alias("run"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out

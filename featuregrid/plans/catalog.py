@@ -117,10 +117,14 @@ def jet_display(spark, d):
     return rows.select("*", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
-@query(f"with {fx.M}, k as (select image_id, y, x, pred as k from m) select image_id, y, x, case when k = 0 then 0 else (k * 67 + 40) % 216 + 40 end as r, case when k = 0 then 0 else (k * 131 + 40) % 216 + 40 end as g, case when k = 0 then 0 else (k * 29 + 40) % 216 + 40 end as b from k")
+# The first colours of the palette, by label.
+_PALETTE = ((0, 0, 0), (148, 178, 71), (78, 216, 194), (221, 198, 47))
+
+
+@query(f"with {fx.M}, p(label, r, g, b) as (values {', '.join(str((k, *c)) for k, c in enumerate(_PALETTE))}) select image_id, y, x, p.r, p.g, p.b from m join p on label = pred")
 def palette_display(spark, d):
-    r, g, b = color.palette_color(F.col("pred"))
-    return fx.mask_pixels(spark, d).select("image_id", "y", "x", r.alias("r"), g.alias("g"), b.alias("b"))
+    rows = planes.painted(fx.mask_planes(spark, d).select("image_id", "pred"), "pred").drop("pred")
+    return planes.to_pixels(rows, {c: c for c in "rgb"}, W)
 
 
 @query(f"with {fx.C}, l as (select *, (r + g) % 4 as label from px), a as (select image_id, label, floor(avg(r)) as ar, floor(avg(g)) as ag, floor(avg(b)) as ab from l group by all) select image_id, y, x, label, cast(ar as int) as r, cast(ag as int) as g, cast(ab as int) as b from l join a using (image_id, label)")
@@ -158,11 +162,12 @@ def feature_space_rgb_xy(spark, d):
     return rows.select("image_id", "y", "x", *[r6(F.get("features", F.lit(i)), f"f{i}") for i in range(5)])
 
 
-@query(f"with {fx.C} select image_id, count(*) as n, 8 as h, 8 as w from px group by image_id having count(*) = 64")
+@query(f"with {fx.C} select image_id, count(*) as n, cast(max(y) + 1 as int) as h, cast(max(x) + 1 as int) as w from px group by image_id")
 def pixel_count_invariant(spark, d):
+    """Every image has as many pixels as its sides say; the last one is less high."""
     pixels = fx.color_pixels(spark, d)
-    whole = pixels.groupBy("image_id").agg(F.count("*").alias("c")).where(f"c = {H * W}").select("image_id")
-    return features.check_pixel_count(pixels.join(whole, "image_id"))
+    sides = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    return features.check_pixel_count(pixels.drop("h", "w").join(sides, "image_id"))
 
 
 # Neighbourhoods
@@ -222,6 +227,26 @@ def filter_bank_activation(spark, d):
     return _pixels(_gabor_responses(spark, d).withColumn("o", planes.activation(F.col("responses"))), "o", "v", True)
 
 
+# The bank at two angles, 0 and a quarter turn, where turned kernels are the plain ones along y.
+_AXES_SQL = (
+    "sc(s, i) as (values (1.0::double, 0), (sqrt(2.0::double), 1), (2.0::double, 2), (2 * sqrt(2.0::double), 3)), offs as (select dy, dx from range(-26, 27) a(dy), range(-26, 27) b(dx)),"
+    " gs as (select s, i, m, exp(-(dx * dx + dy * dy) / (2.0 * (m * s) ** 2)) as g, dy::double as dy, dx::double as dx, m * s as t from sc, (values (1), (3)) q(m), offs where greatest(abs(dy), abs(dx)) <= greatest(1, ceil(3 * m * s))),"
+    " unit as (select s, i, m, t, dy, dx, g / sum(g) over (partition by i, m) as g from gs),"
+    " raw as (select i * 4 + o * 2 + r as k, dy, dx, case when r = 0 then -u / t ** 2 * g else (u * u - t * t) / t ** 4 * g end as v, true as centred from (select *, case o when 0 then dx else -dy end as u from unit, range(0, 2) x(o), range(0, 2) y(r) where m = 1 and i < 3)"
+    " union all select 12 + i + case m when 3 then 4 else 0 end, dy, dx, (dx * dx + dy * dy - 2 * t * t) / t ** 4 * g, true from unit"
+    " union all select 20 + i, dy, dx, g, false from unit where m = 1),"
+    " mid as (select k, dy, dx, v - case when centred then avg(v) over (partition by k) else 0 end as v from raw), lm as (select cast(k as int) as k, cast(dy as int) as dy, cast(dx as int) as dx, v / sum(abs(v)) over (partition by k) as w from mid)"
+)
+
+
+@query(f"with {_AXES_SQL} select k as kernel, dy, dx, round(w, 6) + 0.0 as weight from lm")
+def lm_bank_axes(spark, d):
+    """Weights of the derivative bank at two angles."""
+    rows = [(k, y - a.shape[0] // 2, x - a.shape[1] // 2, float(v)) for k, a in enumerate(kernels.derivative_bank(angles=2)) for (y, x), v in np.ndenumerate(a)]
+    out = spark.createDataFrame(rows, "kernel int, dy int, dx int, weight double")
+    return out.withColumn("weight", r6(F.col("weight"), "weight"))
+
+
 @query()
 def lm_kernels(spark, d):
     """The 48 kernels of the derivative bank applied to every plane; mean absolute response."""
@@ -229,6 +254,16 @@ def lm_kernels(spark, d):
     return rows.select(F.posexplode("responses").alias("kernel", "o")).select("kernel", F.explode("o").alias("v")).groupBy("kernel").agg(r6(F.avg(F.abs("v")), "mean_abs"), F.count("*").alias("n"))
 
 
+@query(f"with {fx.G}, {_AXES_SQL}, small as (select * from lm where k in (select k from lm group by k having max(dy) <= 8)), resp as (select a.image_id, k, a.y, a.x, sum(w * b.v) as v from g a cross join small join g b on b.image_id = a.image_id and b.y = {_REFLECT('a.y + dy')} and b.x = {_REFLECT('a.x + dx')} group by all) select k as kernel, round(avg(abs(v)), 6) as mean_abs, count(*) as n from resp group by k")
+def lm_responses_axes(spark, d):
+    """Mean absolute responses of every plane to the kernels at two angles that no plane is smaller than."""
+    bank = [(k, a) for k, a in enumerate(kernels.derivative_bank(angles=2)) if a.shape[0] // 2 <= H]
+    rows = planes.filter_bank(fx.plane_rows(spark, d), [a for _, a in bank], "v", H, W)
+    names = F.array(*[F.lit(k) for k, _ in bank])
+    rows = rows.select(F.posexplode("responses").alias("at", "o")).select(F.get(names, F.col("at")).alias("kernel"), F.explode("o").alias("v"))
+    return rows.groupBy("kernel").agg(r6(F.avg(F.abs("v")), "mean_abs"), F.count("*").alias("n"))
+
+
 def _median_sql(size: int) -> str:
     r = size // 2
     return f"with {fx.M}, o as (select dy, dx from range({-r}, {r + 1}) a(dy), range({-r}, {r + 1}) b(dx)) select a.image_id, a.y, a.x, list_sort(list(b.pred))[{size * size // 2 + 1}] as label from m a cross join o join m b on b.image_id = a.image_id and b.y = least(greatest(a.y + dy, 0), 7) and b.x = least(greatest(a.x + dx, 0), 7) group by a.image_id, a.y, a.x"
@@ -273,14 +308,14 @@ def dilate_l1(spark, d):
 
 @query(f"with {fx.G} select image_id, cast(y // 2 as int) as y, cast(x // 2 as int) as x, round(avg(v), 6) + 0.0 as v from g group by image_id, y // 2, x // 2")
 def resize_area_half(spark, d):
-    rows = fx.plane_rows(spark, d).select("image_id", planes.resize_area(F.col("v"), H, W, 0.5).alias("o"))
-    return planes.to_pixels(rows, {"v": "o"}, W // 2).select("image_id", "y", "x", r6(F.col("v"), "v"))
+    rows = planes.resize_area(fx.plane_rows(spark, d).select("image_id", "v"), ["v"], H, W, 0.5)
+    return planes.to_pixels(rows, {"v": "v"}, F.col("w")).select("image_id", "y", "x", r6(F.col("v"), "v"))
 
 
 @query(f"with {fx.M}, t as (select ty, tx from range(0, 11) a(ty), range(0, 5) b(tx)) select image_id, cast(ty as int) as y, cast(tx as int) as x, gt as label from m join t on m.y = cast(floor((ty + 0.5) * 8 / 11) as int) and m.x = cast(floor((tx + 0.5) * 8 / 5) as int)")
 def resize_nearest(spark, d):
-    rows = fx.mask_planes(spark, d).select("image_id", planes.resize_nearest(F.col("gt"), H, W, 11, 5).alias("o"))
-    return planes.to_pixels(rows, {"label": "o"}, 5)
+    rows = planes.resize_nearest(fx.mask_planes(spark, d).select("image_id", "gt"), "gt", H, W, 11, 5, "o")
+    return planes.to_pixels(rows.select("image_id", "o"), {"label": "o"}, 5)
 
 
 # Regions
@@ -359,17 +394,57 @@ def match_many_to_one(spark, d):
     return matching.many_to_one(_counts(spark, d), IMG)
 
 
-@query(f"""with {fx.M}, labels as (select image_id, list(distinct gt order by gt) as gs, list(distinct pred order by pred) as ps from c group by image_id),
-step0 as (select image_id, gs, ps, []::int[] as used, 0::bigint as total, 1 as i from labels),
-walk as (select * from step0), s1 as (select w.image_id, gs, ps, list_append(used, p) as used, total + coalesce(n, 0) as total from (select *, unnest(list_concat(ps, [-1])) as p from walk) w left join c on c.image_id = w.image_id and c.gt = 0 and c.pred = p),
-s2 as (select w.image_id, gs, ps, list_append(used, p) as used, total + coalesce(n, 0) as total from (select *, unnest(list_concat(ps, [-1])) as p from s1) w left join c on c.image_id = w.image_id and c.gt = 1 and c.pred = p where p = -1 or not list_contains(used, p)),
-s3 as (select w.image_id, total + coalesce(n, 0) as total from (select *, unnest(list_concat(ps, [-1])) as p from s2) w left join c on c.image_id = w.image_id and c.gt = 2 and c.pred = p where p = -1 or not list_contains(used, p))
-select s3.image_id, max(total) as total_overlap, any_value(len(ps)) as n_labels from s3 join labels using (image_id) group by s3.image_id""")
+# All ways to give each gt label one predicted label or none, with their totals; several best ones are ties.
+_WAYS = """labels as (select image_id, list(distinct pred order by pred) as ps, cast(max(gt) + 1 as int) as n_gt from c group by image_id),
+walk0 as (select image_id, ps, n_gt, []::int[] as used, 0::bigint as total from labels),
+s1 as (select w.image_id, ps, n_gt, list_append(used, p) as used, total + coalesce(n, 0) as total from (select *, unnest(list_concat(ps, [-1])) as p from walk0) w left join c on c.image_id = w.image_id and c.gt = 0 and c.pred = p),
+s2 as (select w.image_id, ps, n_gt, list_append(used, p) as used, total + coalesce(n, 0) as total from (select *, unnest(list_concat(ps, [-1])) as p from s1) w left join c on c.image_id = w.image_id and c.gt = 1 and c.pred = p where p = -1 or n_gt > 1 and not list_contains(used, p)),
+s3 as (select w.image_id, ps, n_gt, list_append(used, p) as used, total + coalesce(n, 0) as total from (select *, unnest(list_concat(ps, [-1])) as p from s2) w left join c on c.image_id = w.image_id and c.gt = 2 and c.pred = p where p = -1 or n_gt > 2 and not list_contains(used, p)),
+full_ways as (select * from s3 where len(list_filter(used, lambda u: u >= 0)) = least(n_gt, len(ps))),
+best as (select image_id, ps, n_gt, used, total, count(*) over (partition by image_id) as ways from (select *, max(total) over (partition by image_id) as top from full_ways) where total = top)"""
+
+
+@query(f"with {fx.M}, {_WAYS} select image_id, total as total_overlap, any_value(len(ps)) as n_labels from best group by image_id, total")
 def match_hungarian(spark, d):
     rows = matching.hungarian(_counts(spark, d), IMG)
     return rows.groupBy("image_id").agg(F.sum(F.when(~F.col("is_extra"), F.col("overlap")).otherwise(0)).alias("total_overlap"), F.count("*").alias("n_labels"))
 
 
+# The matches, extra labels included; null where several ways are best, since any of them would do.
+_HUNG = """uniq as (select * from best where ways = 1), pl as (select image_id, ps, n_gt, used, unnest(ps) as pred from uniq),
+spare as (select image_id, pred, row_number() over (partition by image_id order by pred) - 1 + n_gt as extra from pl where not list_contains(used, pred)),
+hung as (select pl.image_id, pl.pred, cast(coalesce(extra, list_position(used, pl.pred) - 1) as int) as matched,
+ coalesce((select max(case when extra is not null or c.gt = list_position(used, pl.pred) - 1 then n end) from c where c.image_id = pl.image_id and c.pred = pl.pred), 0) as overlap, extra is not null as is_extra
+ from pl left join spare using (image_id, pred))"""
+
+
+def _single_best(spark, d):
+    """image_id and whether its best one-to-one matching is single, by trying all."""
+    import itertools
+
+    def ways(g, p, n):
+        preds = np.unique(p)
+        table = np.zeros((int(g.max()) + 1, len(preds)), np.int64)
+        table[g, np.searchsorted(preds, p)] = n
+        wide = table if table.shape[0] <= table.shape[1] else table.T
+        totals = sorted((sum(int(wide[i, c]) for i, c in enumerate(way)) for way in itertools.permutations(range(wide.shape[1]), wide.shape[0])), reverse=True)
+        return (len(totals) == 1 or totals[0] > totals[1],)
+
+    rows = _counts(spark, d).groupBy("image_id").agg(F.collect_list(F.struct("gt", "pred", "n")).alias("c")).select("image_id", "c.gt", "c.pred", "c.n")
+    return planes.with_arrays(rows, ["gt", "pred", "n"], {"single": "boolean"}, ways, keep=IMG)
+
+
+def _if_single(c: str):
+    return F.when(F.col("single"), F.col(c)).alias(c)
+
+
+@query(f"with {fx.M}, {_WAYS}, {_HUNG} select image_id, pred, matched, overlap, is_extra from (select distinct image_id, pred from c) left join hung using (image_id, pred)")
+def match_hungarian_pairs(spark, d):
+    """The matches themselves; null where several matchings are best."""
+    rows = matching.hungarian(_counts(spark, d), IMG).join(_single_best(spark, d), "image_id")
+    return rows.select("image_id", "pred", *map(_if_single, ("matched", "overlap", "is_extra")))
+
+
 _CONF = _ONE + ", conf as (select image_id, gt, matched as pred, cast(sum(n) as bigint) as n from c join one using (image_id, pred) group by all)"
 
 
@@ -488,10 +563,21 @@ def full_evaluation(spark, d):
     return rows.select("image_id", *[r6(F.col(c), c) for c in ("macro_iou", "macro_boundary_f1", "macro_precision", "weighted_boundary_f1")])
 
 
-@query()
+_EVAL_H = (
+    f"with {fx.M}, {_WAYS}, {_HUNG}, one as (select image_id, pred, matched, overlap from hung), conf as (select image_id, gt, matched as pred, cast(sum(n) as bigint) as n from c join one using (image_id, pred) group by all)"
+    + _CLASSES[len(_CONF):] + f", lab as (select image_id, y, x, gt, matched as pred2 from m join one using (image_id, pred)){_BF},"
+    " full_rows as (select cm.*, boundary_f1 from cm join bf using (image_id, class_id)), acc as (select image_id, sum(n) filter (gt = pred) / sum(n) as pixel_accuracy from conf group by image_id)"
+    ", im as (select image_id, round(avg(iou) filter (included), 6) as macro_iou, round(avg(boundary_f1) filter (included), 6) as macro_boundary_f1, round(any_value(coalesce(pixel_accuracy, 0)), 6) as pixel_accuracy from full_rows join acc using (image_id) group by image_id)"
+    " select image_id, macro_iou, macro_boundary_f1, pixel_accuracy from (select distinct image_id from c) left join im using (image_id)"
+)
+
+
+@query(_EVAL_H)
 def full_evaluation_hungarian(spark, d):
-    rows = evaluation.evaluate(fx.mask_planes(spark, d), H, W)["per_image"]
-    return rows.select("image_id", *[r6(F.col(c), c) for c in ("macro_iou", "macro_boundary_f1", "pixel_accuracy")])
+    """One-to-one scoring; null where several matchings are best."""
+    rows = evaluation.evaluate(fx.mask_planes(spark, d), H, W)["per_image"].join(_single_best(spark, d), "image_id")
+    rows = rows.select("image_id", "single", *[r6(F.col(c), c) for c in ("macro_iou", "macro_boundary_f1", "pixel_accuracy")])
+    return rows.select("image_id", *map(_if_single, ("macro_iou", "macro_boundary_f1", "pixel_accuracy")))
 
 
 @query(_EVAL + ", best as (select image_id, label, macro_iou, macro_boundary_f1 from (select im.*, label, row_number() over (partition by label order by macro_iou desc, macro_boundary_f1 desc, macro_precision desc, image_id) as k from im join (select vec_id as image_id, label from embeddings) using (image_id)) where k = 1) select label, best.image_id, round(macro_iou, 6) as selected_macro_iou, round(macro_boundary_f1, 6) as selected_boundary_f1, round(sum(n) filter (gt = pred) / sum(n), 6) as peer_accuracy from best join conf using (image_id) group by all")
@@ -550,7 +636,7 @@ def safe_name(spark, d):
     return fx.read(spark, d, "pages").select("page_id", scalar.safe_name(F.col("url")).alias("name"), scalar.shape_text(F.lit(H), F.lit(W)).alias("shape"))
 
 
-@query("select p_partkey, array_to_string([case when regexp_matches(x, '^[0-9]') then lpad(coalesce(nullif(ltrim(x, '0'), ''), '0'), 12, '0') else x end for x in regexp_extract_all(lower(p_brand), '[0-9]+|[^0-9]+')], '') as sort_key from part")
+@query("select p_partkey, array_to_string([case when regexp_matches(x, '^[0-9]') then lpad(len(coalesce(nullif(ltrim(x, '0'), ''), '0'))::varchar, 4, '0') || coalesce(nullif(ltrim(x, '0'), ''), '0') else x end for x in regexp_extract_all(lower(p_brand), '[0-9]+|[^0-9]+')], '') as sort_key from part")
 def natural_sort(spark, d):
     return fx.read(spark, d, "part").select("p_partkey", scalar.natural_key(F.col("p_brand")).alias("sort_key"))
 
@@ -614,13 +700,13 @@ _RASTER = (
 @query(_RASTER + " select image_id, cast(py as int) as y, cast(px as int) as x, cast(coalesce(max_by(class_id, position) filter (case kind when 'rectangle' then box when 'circle' then disc when 'line' then line when 'point' then dot else inside end), 0) as int) as label from hit group by image_id, py, px")
 def rasterize_overwrite(spark, d):
     rows = raster.rasterise(raster.class_ids(_shapes(spark, d), IMG), IMG, 16, 16)
-    return planes.to_pixels(rows, {"label": "labels"}, 16)
+    return planes.to_pixels(rows.drop("h", "w"), {"label": "labels"}, 16)
 
 
 @query(_RASTER + " select image_id, cast(py as int) as y, cast(px as int) as x, cast(coalesce(max_by(class_id, position) filter (inside), 0) as int) as mask, cast(coalesce(max_by(class_id, position) filter (rim), 0) as int) as contour, cast(coalesce(max_by(class_id, position) filter (inside or rim), 0) as int) as overlay from hit where kind = 'polygon' group by image_id, py, px")
 def rasterize_polygon(spark, d):
     rows = raster.ground_truth(raster.class_ids(_shapes(spark, d), IMG), IMG, 16, 16)
-    return planes.to_pixels(rows, {"mask": "mask", "contour": "contour", "overlay": "overlay"}, 16)
+    return planes.to_pixels(rows.drop("h", "w"), {"mask": "mask", "contour": "contour", "overlay": "overlay"}, 16)
 
 
 # Clustering
@@ -731,10 +817,10 @@ def sample_fixed_size(spark, d):
 
 
 def _segmented(spark, d, run):
-    pixels = fx.color_pixels(spark, d)
-    whole = pixels.groupBy("image_id").agg(F.count("*").alias("c")).where(f"c = {H * W}").select("image_id")
-    images = planes.to_planes(pixels.join(whole, "image_id"), ["r", "g", "b"]).select("image_id", "r", "g", "b")
-    return segmentation.segment(images, H, W, run).select("image_id", "h", "w", F.size(F.array_distinct("labels")).alias("n_labels"), F.size("cleaned").alias("n_pixels"))
+    """Labels of every pixel before and after cleaning; the last image is less high than the others."""
+    images = planes.to_planes(fx.color_pixels(spark, d).drop("h", "w"), ["r", "g", "b"])
+    out = segmentation.segment(images, F.col("h"), F.col("w"), run)
+    return planes.to_pixels(out.select("image_id", "w", "labels", "cleaned"), {"label": "labels", "cleaned": "cleaned"}, F.col("w")).drop("w")
 
 
 @query()

@@ -52,12 +52,17 @@ def test_kernel_banks():
 
 def test_resize(spark):
     a = np.arange(24.0)
-    half = plane_of(spark, a.tolist(), lambda v: planes.resize_area(v, 4, 6, 0.5))
+    def resized(values, h, w, scale):
+        row = planes.resize_area(spark.createDataFrame([(values,)], "v array<double>"), ["v"], h, w, scale).first()
+        assert len(row["v"]) == row["h"] * row["w"]
+        return row["v"]
+
+    half = resized(a.tolist(), 4, 6, 0.5)
     assert half == [3.5, 5.5, 7.5, 15.5, 17.5, 19.5]
-    assert plane_of(spark, a.tolist(), lambda v: planes.resize_area(v, 4, 6, 1.0)) == a.tolist()
-    third = plane_of(spark, [1.0] * 25, lambda v: planes.resize_area(v, 5, 5, 0.4))
+    assert resized(a.tolist(), 4, 6, 1.0) == a.tolist()
+    third = resized([1.0] * 25, 5, 5, 0.4)
     assert np.allclose(third, 1.0) and len(third) == 4
-    assert len(plane_of(spark, a.tolist(), lambda v: planes.resize_area(v, 4, 6, 2.0))) == 96
+    assert len(resized(a.tolist(), 4, 6, 2.0)) == 96
     with pytest.raises(ValueError):
         planes.scaled_size(4, 0)
 
@@ -140,7 +145,7 @@ def test_names_and_scalars(spark):
         scalar.nearest_int(F.lit(2.5)).alias("r"), scalar.safe_div(F.lit(1), F.lit(0)).alias("z"), scalar.stem(F.lit("a/b.c.png")).alias("stem"), scalar.extension(F.lit("a/b.PNG")).alias("ext"),
         scalar.method_key(F.lit("a"), F.lit("b")).alias("k"),
     ).first()
-    assert row.asDict() == {"s": "a__b__ü-c.png", "n": "img000000000010 a000000000002", "l": "unlabeled", "r": 2, "z": 0.0, "stem": "b.c", "ext": ".png", "k": "a | b"}
+    assert row.asDict() == {"s": "a__b__ü-c.png", "n": "img000210 a00012", "l": "unlabeled", "r": 2, "z": 0.0, "stem": "b.c", "ext": ".png", "k": "a | b"}
 
 
 def test_colours(spark):
