@@ -645,9 +645,8 @@ _PATHS = """k as (select p_partkey as k, case p_partkey % 4 when 0 then 'KMeans'
  (case p_partkey % 3 when 0 then 'Post Processed' when 1 then 'postprocessed' else 'raw' end) || ' a-' || p_partkey as name, case p_partkey % 7 % 3 when 0 then '.png' when 1 then '.JPG' else '.txt' end as ext, 'Img' || lpad(cast(p_partkey % 20 as varchar), 2, '0') as img from part)"""
 
 
-@query(f"""with {_PATHS} select img as image_id, case when k % 4 = 3 then case when space = '' then 'other' else space || '/other' end when space = '' then 'unknown_feature' else space end as feature_set,
-case when k % 4 = 3 then 'unknown_method' else method end as method_dir, case k % 4 when 0 then 'KMeans' when 3 then 'unknown' else 'Mean Shift' end as algorithm, name as prediction_name,
-(k % 20) % 3 = 0 as has_mask, (k % 20) % 2 = 0 as has_json from k where k % 3 < 2 and ext <> '.txt' and ((k % 20) % 3 = 0 or (k % 20) % 2 = 0)""")
+@query(f"""with {_PATHS} select img as image_id, case when space = '' then 'unknown_feature' else space end as feature_set, method as method_dir, case k % 4 when 0 then 'KMeans' else 'Mean Shift' end as algorithm, name as prediction_name,
+(k % 20) % 3 = 0 as has_mask, (k % 20) % 2 = 0 as has_json from k where k % 4 < 3 and k % 3 < 2 and ext <> '.txt' and ((k % 20) % 3 = 0 or (k % 20) % 2 = 0)""")
 def discover_predictions(spark, d):
     rows = files.discover_predictions(fx.result_paths(spark, d), fx.truth_paths(spark, d))
     return rows.select("image_id", "feature_set", "method_dir", "algorithm", "prediction_name", F.col("gt_mask_path").isNotNull().alias("has_mask"), F.col("gt_json_path").isNotNull().alias("has_json"))
