@@ -83,6 +83,51 @@ def kmeans(df: DataFrame, k: int = 5, max_iter: int = 100, seed: int = 42, col:
     return model.transform(vectors).drop("__v")
 
 
+def plus_plus(points: np.ndarray, k: int, seed: int = 42) -> np.ndarray:
+    """k starting centres out of bounded points, each drawn in proportion to its squared distance to the
+    ones before it; fewer if there are fewer different points."""
+    rng = np.random.default_rng(seed)
+    centres = [points[rng.integers(len(points))]]
+    while len(centres) < k:
+        d2 = ((points[:, None, :] - np.array(centres)[None]) ** 2).sum(2).min(1)
+        if not d2.sum():
+            break
+        centres.append(points[rng.choice(len(points), p=d2 / d2.sum())])
+    return np.array(centres)
+
+
+def mini_batches(df: DataFrame, key: str, share: float, round_no: int, seed: int = 42) -> DataFrame:
+    """About ``share`` of the rows, drawn for a round by a hash of the key."""
+    drawn = F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)), F.lit(str(round_no)))), 1, 8)
+    return df if share >= 1 else df.where(drawn < f"{int(share * (1 << 32)):08x}")
+
+
+def mini_batch_kmeans(df: DataFrame, key: str, k: int = 5, batch: int = 8192, iterations: int = 100, seed: int = 42, col: str = "features", centres=None, share: float | None = None, tolerance: float = 1e-4) -> tuple[list[list[float]], DataFrame]:
+    """Mini-batch k-means: final centres, and ``df`` with the nearest one of each row.
+
+    Each round draws about ``batch`` rows (or a ``share``) and moves every centre towards the mean of its
+    batch rows by their part in all rows it has seen. It starts from k-means++ on three batches of rows
+    at most, and ends when no centre moves by more than ``tolerance``. Only sums of clusters reach the
+    driver, and a round costs one scan with a filter, whatever the batch.
+    """
+    if centres is None:
+        centres = plus_plus(np.array([r[0] for r in sample_fixed(df, key, 1.0, min(3 * batch, MAX_SAMPLES)).select(col).collect()], float), k, seed)
+    if share is None:
+        share = batch / max(df.count(), 1)
+    at, dims, seen = np.array(centres, float), len(centres[0]), np.zeros(len(centres))
+    for t in range(iterations):
+        moved = 0.0
+        for r in centre_means(assign(mini_batches(df, key, share, t, seed), at, col), dims, col).collect():
+            c = r["cluster"]
+            seen[c] += r["n"]
+            step = (np.array(r["centre"]) - at[c]) * (r["n"] / seen[c])
+            at[c] += step
+            moved = max(moved, float(np.linalg.norm(step)))
+        if moved <= tolerance:
+            break
+    return at.tolist(), assign(df, at, col)
+
+
 def sample_fixed(df: DataFrame, key: str, ratio: float = SAMPLE_RATIO, most: int = MAX_SAMPLES) -> DataFrame:
     """min(max(1, int(ratio * n)), most, n) rows, drawn by a hash of the key."""
     n = df.count()

@@ -5,6 +5,7 @@ Each query runs over whole tables. Floats are rounded to six places on both side
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color, kernels, scalar, weights
-from ..operators import clustering, evaluation, features, matching, metrics, planes, raster, regions, report, segmentation, stats
-from ..sources import files
+from ..operators import clustering, evaluation, features, matching, metrics, planes, raster, regions, report, scoring, segmentation, stats
+from ..shared import shared_dir
+from ..sources import files, sinks
 from . import fixtures as fx
 from .fixtures import DIMS, SIDE
 
@@ -590,6 +592,28 @@ def peer_rescore(spark, d):
     return best.join(again, "image_id").select("label", "image_id", r6(F.col("macro_iou"), "selected_macro_iou"), r6(F.col("macro_boundary_f1"), "selected_boundary_f1"), r6(F.col("pixel_accuracy"), "peer_accuracy"))
 
 
+_TREE = (
+    f"with {fx.G}, m0 as (select a.image_id, a.y, a.x, case when a.v > 0.1 then 2 when a.v > 0 then 1 else 0 end as gt, case when b.v > 0.12 then 3 when b.v > 0.05 then 2 when b.v > 0 then 1 else 0 end as pred from g a join g b on a.image_id = b.image_id and a.y = b.y and b.x = least(a.x + 1, 7)),"
+    " m as (select image_id, y, x, cast(dense_rank() over (partition by image_id order by gt) - 1 as int) as gt, cast(dense_rank() over (partition by image_id order by pred) - 1 as int) as pred from m0), c as (select image_id, gt, pred, count(*) as n from m group by all), "
+    + _EVAL.partition(fx.M + ", ")[2]
+    + ", acc as (select image_id, round(sum(n) filter (gt = pred) / sum(n), 6) as pixel_accuracy from conf group by image_id), kinds as (select image_id, cast(max(gt) + 1 as bigint) as n_gt_labels, cast(max(pred) + 1 as bigint) as n_pred_labels from m group by image_id)"
+    " select image_id, round(macro_iou, 6) as macro_iou, round(macro_boundary_f1, 6) as macro_boundary_f1, round(macro_precision, 6) as macro_precision, round(coalesce(weighted_boundary_f1, 0), 6) as weighted_boundary_f1, pixel_accuracy, n_gt_labels, n_pred_labels, '8x8' as gt_shape, 'KMeans' as algorithm from im join acc using (image_id) join kinds using (image_id)"
+)
+
+
+@query(_TREE)
+def score_result_tree(spark, d):
+    """Every mask written as a file of a result tree in the shared folder, and the tree scored."""
+    root = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    gray = lambda c: F.transform(c, lambda v: v * 60).alias("o")
+    masks = fx.mask_planes(spark, d).withColumn("folder", F.concat(F.lit("Img"), F.col("image_id").cast("string")))
+    truth = masks.select(F.concat(F.lit("GT/"), F.col("folder"), F.lit("/mask")).alias("name"), gray("gt"))
+    found = masks.select(F.concat(F.col("folder"), F.lit("/lab/KMeans/PostProcessed-1")).alias("name"), gray("pred"))
+    sinks.write_png(sinks.encode_png(truth.unionByName(found).withColumns({"h": F.lit(H), "w": F.lit(W)}), ["o"]), root, "name")
+    rows = scoring.score_tree(spark, root, _SETTINGS)["per_image_results"]
+    return rows.select(F.substring("image_id", 4, 20).cast("long").alias("image_id"), *[r6(F.col(c), c) for c in ("macro_iou", "macro_boundary_f1", "macro_precision", "weighted_boundary_f1", "pixel_accuracy")], "n_gt_labels", "n_pred_labels", "gt_shape", "algorithm")
+
+
 # Reports
 
 _METRICS = ["iou", "boundary_f1", "precision"]
@@ -728,6 +752,27 @@ def assign_nearest(spark, d):
     return clustering.assign(rows, clustering.first_vectors(rows, 5, "id")).select("id", "cluster")
 
 
+def _mini_sql(rounds: int) -> str:
+    drawn = lambda t: f"b{t} as (select id, f from v where left(md5(concat_ws(':', id::varchar, '42', '{t}')), 8) < '80000000')"
+    near = lambda name, rows, centres: f"{name} as (select id, cast(arg_min(c, {{'d': dd, 'c': c}}) as int) as c from (select v.id, z.c, {_D2('v.f', 'z.f')} as dd from {rows} v cross join {centres} z) group by id)"
+    means = lambda t: f"m{t} as (select c, list(m order by i) as mf, any_value(n) as n from (select c, i, avg(f[i]) as m, count(*) as n from (select c, f, unnest(range(1, 65)) as i from a{t} join v using (id)) group by c, i) group by c)"
+    moved = lambda t: f"z{t + 1} as (select c, s + coalesce(n, 0) as s, case when n is null then f else list_transform(list_zip(f, mf), lambda x: x[1] + (x[2] - x[1]) * n / (s + n)) end as f from z{t} left join m{t} using (c))"
+    parts = [f"{drawn(t)}, {near(f'a{t}', f'b{t}', f'z{t}')}, {means(t)}, {moved(t)}" for t in range(rounds)]
+    return f"with {fx.V}, z0 as (select cast(row_number() over (order by id) - 1 as int) as c, 0 as s, f from v order by id limit 5), {', '.join(parts)}, {near('last', 'v', f'z{rounds}')} select id, c as cluster from last"
+
+
+@query(_mini_sql(3))
+def kmeans_mini_batch_3(spark, d):
+    """Three rounds on half of the rows each, from the first five vectors."""
+    rows = fx.vectors(spark, d)
+    return clustering.mini_batch_kmeans(rows, "id", iterations=3, centres=clustering.first_vectors(rows, 5, "id"), share=0.5, tolerance=0.0)[1].select("id", "cluster")
+
+
+@query()
+def kmeans_mini_batch(spark, d):
+    return clustering.mini_batch_kmeans(fx.vectors(spark, d), "id", iterations=10)[1].select("id", "cluster")
+
+
 @query()
 def kmeans_ml(spark, d):
     return clustering.kmeans(fx.vectors(spark, d)).select("id", "cluster")
@@ -782,18 +827,19 @@ def merge_modes(spark, d):
     return clustering.merge_modes(modes, 0.25, "id").select("center_id", "n")
 
 
-def _knn_sql(k: int, ranks, extra: str = "") -> str:
+def _knn_sql(k: int, most: int, ranks, extra: str = "") -> str:
     rows = ", ".join(f"({r})" for r in ranks)
-    return f"with {fx.V}, p as (select a.id, sqrt({_D2('a.f', 'b.f')}) as dd from v a cross join v b), n as (select id, list_sort(list(dd))[{k + 1}] as dd from p group by id), r(rank) as (values {rows}) select rank, round(quantile_cont(dd, rank / 100.0), 6) as value{extra} from n cross join r group by rank"
+    value = "case rank " + " ".join(f"when {r} then quantile_cont(dd, {r / 100})" for r in ranks) + " end"
+    return f"with {fx.V}, d as (select * from v order by md5(cast(id as varchar)), id limit {most}), p as (select a.id, sqrt({_D2('a.f', 'b.f')}) as dd from d a cross join d b), n as (select id, list_sort(list(dd))[{k + 1}] as dd from p group by id), r(rank) as (values {rows}) select rank, round({value}, 6) as value{extra} from n cross join r group by rank"
 
 
-@query("".join(_knn_sql(30, [10, 25, 50, 75, 90], ", rank >= 25 as candidate").rsplit("quantile_cont(dd, rank / 100.0)", 1)[0:1]) + "case rank " + " ".join(f"when {r} then quantile_cont(dd, {r / 100})" for r in (10, 25, 50, 75, 90)) + " end, 6) as value, rank >= 25 as candidate from n cross join r group by rank")
+@query(_knn_sql(30, 2000, (10, 25, 50, 75, 90), ", rank >= 25 as candidate"))
 def bandwidth_knn_percentiles(spark, d):
     rows = clustering.sample_fixed(fx.vectors(spark, d), "id", 1.0, 2000)
     return stats.bandwidth_percentiles(rows).select("rank", r6(F.col("value"), "value"), "candidate")
 
 
-@query("".join(_knn_sql(1, [10, 25, 50, 75, 90, 95]).rsplit("quantile_cont(dd, rank / 100.0)", 1)[0:1]) + "case rank " + " ".join(f"when {r} then quantile_cont(dd, {r / 100})" for r in (10, 25, 50, 75, 90, 95)) + " end, 6) as value from n cross join r group by rank")
+@query(_knn_sql(1, 3000, (10, 25, 50, 75, 90, 95)))
 def nearest_mode_percentiles(spark, d):
     rows = clustering.sample_fixed(fx.vectors(spark, d), "id", 1.0, 3000)
     return stats.nearest_percentiles(rows).select("rank", r6(F.col("value"), "value"))
@@ -807,6 +853,13 @@ def pca_explained(spark, d):
     return rows.agg(F.round(total, 5).alias("total_variance"), F.count("*").alias("n"))
 
 
+@query()
+def pca_95(spark, d):
+    """The components kept for 95 % of the variance, and their shares."""
+    shares = stats.pca(fx.vectors(spark, d), DIMS)[1]
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(shares)], "component int, share double").select("component", r6(F.col("share"), "share"))
+
+
 @query("select vec_id as id from embeddings order by md5(cast(vec_id as varchar)), vec_id limit (select least(greatest(1, cast(floor(0.07 * count(*)) as bigint)), 12000, count(*)) from embeddings)")
 def sample_fixed_size(spark, d):
     return clustering.sample_fixed(fx.vectors(spark, d), "id").select("id")

@@ -235,3 +235,135 @@ def test_experiment_grid_runs(spark):
     rows = segmentation.run_grid(images, 6, 8, ["rgb", "hsv"], k=2, bandwidths=(0.8,), mode="3", min_area=2).collect()
     assert {(r["feature_set"], r["algorithm"]) for r in rows} == {(s, a) for s in ("rgb", "hsv") for a in ("kmeans", "mean shift")}
     assert all(len(r["cleaned"]) == 48 and r["cleaned"][0] != r["cleaned"][7] for r in rows)
+
+
+def vectors_of(data):
+    import duckdb
+
+    rows = duckdb.sql(f"select vec_id, embedding from '{data}/embeddings.parquet' order by 1").fetchall()
+    return [r[0] for r in rows], np.array([r[1] for r in rows], float)
+
+
+def test_flat_mean_shift_query_by_brute_force(spark, data):
+    """Clusters of all vectors: seeds on the grid climb, the strongest centre of a neighbourhood stays."""
+    from featuregrid.plans import catalog
+
+    ids, x = vectors_of(data)
+    h, found = 1.2, {}
+    seeds = np.unique(np.rint(x / h), axis=0) * h
+    for p in x if len(seeds) == len(x) else seeds:
+        for _ in range(100):
+            near = x[((x - p) ** 2).sum(1) <= h * h]
+            if not len(near):
+                break
+            before, p = p, near.mean(0)
+            if np.linalg.norm(p - before) <= 1e-3 * h:
+                break
+        if len(near):
+            found[tuple(p)] = len(near)
+    kept = []
+    for c, _ in sorted(found.items(), key=lambda f: (f[1], f[0]), reverse=True):
+        if all(np.linalg.norm(np.array(c) - k) > h for k in kept):
+            kept.append(np.array(c))
+    want = dict(zip(ids, ((x[:, None] - np.array(kept)[None]) ** 2).sum(2).argmin(1).tolist()))
+    got = {r["id"]: r["cluster"] for r in catalog.queries()["mean_shift_full"](spark, data).collect()}
+    assert got == want
+
+
+def test_merged_modes_query_by_brute_force(spark, data):
+    from featuregrid.plans import catalog
+
+    _, x = vectors_of(data)
+    h, modes = 0.5, []
+    for p in x:
+        for _ in range(30):
+            d2 = ((x - p) ** 2).sum(1)
+            w = np.where(d2 > 9 * h * h, 0, np.exp(-d2 / (2 * h * h)))
+            before, p = p, w @ x / w.sum()
+            if np.linalg.norm(p - before) < 0.01 * h:
+                break
+        modes.append(p)
+    centres, sizes = [], []
+    for m in modes:
+        d = [np.linalg.norm(m - c) for c in centres]
+        if d and min(d) < 0.25:
+            k = int(np.argmin(d))
+            centres[k] = (centres[k] * sizes[k] + m) / (sizes[k] + 1)
+            sizes[k] += 1
+        else:
+            centres.append(m)
+            sizes.append(1)
+    got = [r["n"] for r in catalog.queries()["merge_modes"](spark, data).orderBy("center_id").collect()]
+    assert got == sizes
+
+
+def test_pca_query_by_decomposition(spark, data):
+    from featuregrid.plans import catalog
+
+    _, x = vectors_of(data)
+    shares = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2
+    shares = shares / shares.sum()
+    rows = catalog.queries()["pca_95"](spark, data).orderBy("component").collect()
+    assert len(rows) == int(np.searchsorted(np.cumsum(shares), 0.95, side="right")) + 1
+    assert np.allclose([r["share"] for r in rows], shares[: len(rows)], atol=1e-6)
+
+
+@pytest.mark.parametrize("name", ["kmeans_ml", "kmeans_mini_batch"])
+def test_kmeans_queries_are_good_clusterings(spark, data, name):
+    """Every row has a cluster, and the spread within is near that of plain k-means from the best of many starts."""
+    from featuregrid.plans import catalog
+
+    ids, x = vectors_of(data)
+    got = {r["id"]: r["cluster"] for r in catalog.queries()[name](spark, data).collect()}
+    labels = np.array([got[i] for i in ids])
+    spread = lambda l: sum(((x[l == k] - x[l == k].mean(0)) ** 2).sum() for k in set(l.tolist()))  # noqa: E731, E741
+    best = min(spread(segmentation.kmeans_labels(x, segmentation.Run("rgb", "kmeans", k=5, seed=s))) for s in range(8))
+    assert len(set(labels.tolist())) == 5 and spread(labels) <= 1.1 * best
+
+
+def test_segmentation_queries_by_brute_force(spark, data):
+    """Labels of every pixel from NumPy alone, image by image."""
+    from featuregrid.plans import catalog
+    from featuregrid.plans import fixtures as fx
+
+    rows = defaultdict(list)
+    for r in fx.color_pixels(spark, data).collect():
+        rows[r["image_id"]].append((r["y"], r["x"], r["r"], r["g"], r["b"]))
+    got = defaultdict(dict)
+    for r in catalog.queries()["segment_kmeans"](spark, data).collect():
+        got[r["image_id"]][r["y"], r["x"]] = r["label"], r["cleaned"]
+    assert got.keys() == rows.keys()
+    for image, cells in rows.items():
+        a = np.array(sorted(cells), float)
+        h, w = int(a[:, 0].max()) + 1, int(a[:, 1].max()) + 1
+        x = np.concatenate([a[:, 2:], a[:, [1]] / max(w - 1, 1), a[:, [0]] / max(h - 1, 1)], 1)
+        labels = segmentation.kmeans_labels(segmentation.standardised(x), segmentation.Run("rgb_xy", "kmeans"))
+        cleaned = regions.remove_small(labels.reshape(h, w), 3).ravel()
+        assert [got[image][int(y), int(c)] for y, c in a[:, :2]] == list(zip(labels.tolist(), cleaned.tolist()))
+
+
+def test_truth_products_are_written(spark, tmp_path):
+    from featuregrid.operators import raster
+
+    text = '{"imageHeight":9,"imageWidth":7,"shapes":[{"label":"a","points":[[1.4,1.5],[5.6,1.2],[5.1,6.5],[0.5,6.4]]}]}'
+    df = spark.createDataFrame([("i1", text), ("i2", text)], "image_id string, j string")
+    shapes = raster.class_ids(raster.shapes(raster.parse_annotations(df, "j").drop("j")), ["image_id"])
+    made = raster.ground_truth(shapes, ["image_id"], 9, 7)
+    assert sinks.write_truth(made, str(tmp_path)) == 6
+    back = {r["path"].rpartition("/")[2]: r for r in files.label_planes(files.read_images(spark, str(tmp_path / "i1"))).collect()}
+    mask = np.array(made.where("image_id = 'i1'").first()["mask"]).reshape(9, 7)
+    assert (np.array(back["mask.png"]["labels"]).reshape(9, 7) == mask).all() and back["mask.png"]["names"] == ["0", "1"]
+    # Corners are rounded, halves to even: (1, 2), (6, 1), (5, 6), (0, 6).
+    assert mask[3, 2] == 1 and mask[7, 3] == 0
+
+
+def test_mini_batches_are_drawn_anew(spark):
+    df = spark.range(2000).select("id")
+    first, second = ({r["id"] for r in clustering_batches(df, t)} for t in (0, 1))
+    assert abs(len(first) - 500) < 100 and first != second
+
+
+def clustering_batches(df, t):
+    from featuregrid.operators import clustering
+
+    return clustering.mini_batches(df, "id", 0.25, t).collect()
