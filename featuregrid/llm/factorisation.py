@@ -200,10 +200,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, text_col: str, chars_col
 
 def score_documents(docs: DataFrame, model: Machine, text_col: str = "text", chars_col: str = "n_chars", out_col: str = "score") -> DataFrame:
     """``docs`` and ``out_col`` of each row, a score from 0 to 1; only the text and its declared
-    length are inputs, and only they go to Python. ``out_col`` must be a new name.
+    length are inputs, and only they go to Python. All other columns stay; one that is already called
+    ``out_col`` is replaced.
 
     A null text counts as empty and has a score as well; a null declared length is taken from
-    the text. Equal texts with equal declared lengths get equal scores.
+    the text. Equal texts with equal declared lengths get equal scores; an empty table gives no rows.
     """
 
     @F.arrow_udf("double")
