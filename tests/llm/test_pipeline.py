@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from featuregrid.llm import byte_bpe, decontamination, factorisation
@@ -63,8 +64,24 @@ def test_odd_rows_pass_all_stages(spark, odd, none, data):
     assert corpus_pipeline.near_dedup(spark, small, data).where("doc_id is null or doc_id in (2, 3, 4)").count() == 4
 
 
+def test_clashing_columns_pass_all_stages(spark, docs, data):
+    """Columns with the names that stages use inside stay, and change nothing."""
+    extra = ["score", "pii", "bad_id", "bad_hash", "row", "id", "_score", "node"]
+    few = docs.where("doc_id < 60")
+    rows = few
+    for name in extra:
+        rows = rows.withColumn(name, F.lit("x"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, data)
+        assert out.columns == rows.columns
+        plain = stage(spark, few, data).select("doc_id", "text").collect()
+        assert sorted(map(tuple, out.select("doc_id", "text").collect())) == sorted(map(tuple, plain))
+
+
 def test_run(spark, data, docs):
-    """run() equals the stages applied one by one, and its ids decode to the texts."""
+    """run() equals the stages applied one by one, its ids are the library's and decode to the texts."""
+    import tiktoken
+
     rows = {r["doc_id"]: r for r in corpus_pipeline.run(spark, data).collect()}
     step = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -72,6 +89,9 @@ def test_run(spark, data, docs):
     texts = {r["doc_id"]: r["text"] for r in step.collect()}
     assert rows.keys() == texts.keys()
     ranks = byte_bpe.load_ranks(byte_bpe.default_ranks())
+    library = tiktoken.Encoding("own", pat_str=byte_bpe.default_pattern(), mergeable_ranks=ranks, special_tokens={})
+    for i, r in rows.items():
+        assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == library.encode_ordinary(texts[i])
     tokens = {v: k for k, v in ranks.items()}
     for i, r in rows.items():
         assert b"".join(tokens[x] for x in np.frombuffer(bytes(r["ids"]), "<u4").tolist()).decode() == texts[i]
