@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.weights import dist2
 from ..shared import shared_dir
-from .planes import once
+from .planes import arrays_of, once
 
 #: Points that are sampled at most, and the share; up to so many travel with a function.
 MAX_SAMPLES, SAMPLE_RATIO = 12_000, 0.07
@@ -220,28 +220,28 @@ def merge_modes(modes: DataFrame, threshold: float, order: str, col: str = "mode
     ``threshold``, which then moves to the mean of its members, or founds a new one.
 
     The rule depends on the order, so rounded modes are counted first and one task walks through
-    the distinct ones; their number is that of hills, not of rows.
+    the distinct ones, batch by batch; it holds the centres, whose number is that of hills, not of rows.
     """
     distinct = modes.groupBy(F.transform(col, lambda v: F.round(v, 6)).alias("mode")).agg(F.count("*").alias("n"), F.min(order).alias("first"))
 
-    def walk(pdf):
-        import pandas as pd
-
-        centres: list[np.ndarray] = []
-        sizes: list[int] = []
-        for mode, n in pdf.sort_values("first")[["mode", "n"]].itertuples(index=False):
-            mode = np.asarray(mode, float)
-            d = [np.linalg.norm(mode - c) for c in centres]
-            k = int(np.argmin(d)) if d else -1
-            if k >= 0 and d[k] < threshold:
-                centres[k] = (centres[k] * sizes[k] + mode * n) / (sizes[k] + n)
-                sizes[k] += int(n)
-            else:
-                centres.append(mode)
-                sizes.append(int(n))
-        return pd.DataFrame({"center_id": range(len(centres)), "center": [c.tolist() for c in centres], "n": sizes})
+    def walk(batches):
+        import pyarrow as pa
 
-    return distinct.groupBy().applyInPandas(walk, "center_id int, center array<double>, n long")
+        centres, sizes = np.zeros((0, 0)), np.zeros(0, np.int64)
+        for batch in batches:
+            for mode, n in zip(arrays_of(batch.column(0)), batch.column(1).to_pylist()):
+                d = np.sqrt(((centres - mode) ** 2).sum(1)) if len(centres) else np.zeros(0)
+                k = int(d.argmin()) if len(d) else -1
+                if k >= 0 and d[k] < threshold:
+                    centres[k] = (centres[k] * sizes[k] + mode * n) / (sizes[k] + n)
+                    sizes[k] += n
+                else:
+                    centres = np.vstack([centres, mode]) if len(centres) else mode[None].copy()
+                    sizes = np.append(sizes, n)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(sizes)), pa.int32()), pa.array(centres.tolist(), pa.list_(pa.float64())), pa.array(sizes, pa.int64())], names=["center_id", "center", "n"])
+
+    # Sorted on all tasks; the last one streams through the parts in order and holds the centres alone.
+    return distinct.orderBy("first").select("mode", "n").coalesce(1).mapInArrow(walk, "center_id int, center array<double>, n long")
 
 
 def bin_seeds(df: DataFrame, h: float, col: str = "features") -> DataFrame:

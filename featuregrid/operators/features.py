@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import color
+from ..functions import color, kernels
+from . import planes
 
 
 def xy(h: Column, w: Column) -> list[Column]:
@@ -52,6 +54,30 @@ SPACES: dict[str, tuple[str, ...]] = {
 }
 
 
+#: Weights of red, green and blue in a gray byte, in 2**14ths.
+GRAY_WEIGHTS, GRAY_BITS = (4899, 9617, 1868), 14
+
+
+def gray_byte(r, g, b):
+    """A colour's gray level as the image library rounds it, for whole numbers of any kind."""
+    total = sum(c * k for c, k in zip((r, g, b), GRAY_WEIGHTS)) + (1 << (GRAY_BITS - 1))
+    return F.shiftright(total, GRAY_BITS) if isinstance(total, Column) else total >> GRAY_BITS
+
+
+#: Filter banks of texture spaces by name.
+TEXTURES: dict[str, Callable[[], list[np.ndarray]]] = {"gabor": kernels.gabor_bank, "leung_malik": kernels.derivative_bank}
+
+
+def texture_planes(images: DataFrame, method: str | list[np.ndarray] = "gabor", out: str = "texture") -> DataFrame:
+    """``images`` (h, w and planes r, g, b) with the responses of a filter bank to their gray levels: for
+    each place an array of one number for each kernel, as the texture part of feature spaces reads it."""
+    bank = TEXTURES[method]() if isinstance(method, str) else method
+    gray = F.zip_with(F.arrays_zip("r", "g"), "b", lambda rg, b: gray_byte(rg["r"].cast("int"), rg["g"].cast("int"), b.cast("int")))
+    rows = planes.filter_bank(images.withColumn("__gray", gray), bank, "__gray", F.col("h"), F.col("w"), out="__responses").drop("__gray")
+    place = F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), lambda i: F.transform("__responses", lambda plane: F.get(plane, i)))
+    return rows.withColumn(out, place).drop("__responses")
+
+
 def register_part(name: str, columns: Callable[[DataFrame], list[Column]]) -> None:
     """Add a part that spaces may name."""
     PARTS[name] = columns

@@ -213,6 +213,23 @@ _GABOR_SQL = (
 )
 
 
+_FOLD = lambda e, n: f"(case when ((({e}) % (2 * {n})) + 2 * {n}) % (2 * {n}) < {n} then ((({e}) % (2 * {n})) + 2 * {n}) % (2 * {n}) else 2 * {n} - 1 - ((({e}) % (2 * {n})) + 2 * {n}) % (2 * {n}) end)"
+
+
+@query(
+    f"with {fx.C}, {_GABOR_SQL}, gp as (select image_id, y, x, r, g, b, (r * 4899 + g * 9617 + b * 1868 + 8192) >> 14 as gray, max(y) over (partition by image_id) + 1 as h from px),"
+    f" resp as (select a.image_id, a.y, a.x, a.r, a.g, a.b, k, sum(w * b.gray) as v from gp a cross join bank join gp b on b.image_id = a.image_id and b.y = {_FOLD('a.y + dy', 'a.h')} and b.x = {_FOLD('a.x + dx', '8')} group by all)"
+    " select image_id, y, x, list_transform(list_concat([r, g, b], list(v order by k)), lambda t: round(t, 4) + 0.0) as features from resp group by image_id, y, x, r, g, b"
+)
+def feature_space_rgb_texture(spark, d):
+    """Colours and the responses of eight Gabor kernels of every pixel; the last image is less high."""
+    images = planes.to_planes(fx.color_pixels(spark, d).drop("h", "w"), ["r", "g", "b"])
+    images = features.texture_planes(images, kernels.gabor_bank(**_GABOR))
+    pixels = planes.to_pixels(images, {c: c for c in ("r", "g", "b", "texture")}, F.col("w"))
+    rows = features.feature_space(pixels, "rgb_texture")
+    return rows.select("image_id", "y", "x", F.transform("features", lambda v: F.round(v, 4) + 0.0).alias("features"))
+
+
 def _gabor_responses(spark, d):
     return planes.filter_bank(fx.plane_rows(spark, d), kernels.gabor_bank(**_GABOR), "v", H, W)
 

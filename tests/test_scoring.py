@@ -229,6 +229,19 @@ def test_columns_of_any_name(spark):
     assert planes.filter_bank(df, [np.ones((1, 1))], "v", 2, 2).first()["responses"] == [[1.0, 2.0, 3.0, 4.0]]
 
 
+@pytest.mark.parametrize("method,n", [("gabor", 32), ("leung_malik", 48)])
+def test_texture_spaces_are_segmented(spark, method, n):
+    """Stripes beside a flat half of the same mean are told apart by texture alone."""
+    rows = [[(255 if (x // 2) % 2 else 0) if x < 24 else 128 for x in range(48)] for _ in range(24)]
+    plane = [v for line in rows for v in line]
+    images = spark.createDataFrame([("a", 24, 48, plane, plane, plane)], "image_id string, h int, w int, r array<int>, g array<int>, b array<int>")
+    made = features.texture_planes(images, method)
+    assert len(made.first()["texture"][0]) == n
+    row = segmentation.segment(made, F.col("h"), F.col("w"), segmentation.Run("texture", "kmeans", k=2, min_area=30)).first()
+    got = np.array(row["cleaned"]).reshape(24, 48)
+    assert len(set(got[:, 40:].ravel())) == 1 and (got[:, :16] != got[0, 47]).mean() > 0.4
+
+
 def test_experiment_grid_runs(spark):
     plane = ([10] * 4 + [240] * 4) * 6
     images = spark.createDataFrame([("a", plane, plane, plane)], "image_id string, r array<int>, g array<int>, b array<int>")
