@@ -172,7 +172,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, work:
                 for i, found in enumerate(shingle_sets(*text_bytes(batch.column(3)), width)):
                     if (us[i], chunk[i]) != key:
                         key, heads = (us[i], chunk[i]), []
-                    if vs[i] is None:
+                    if vs[i] is None and not any(np.array_equal(found, h) for h in heads):  # repeated rows add nothing
                         heads.append(found)
                     keep.append(vs[i] is not None and any(_linked(h, found, percent) for h in heads))
                 keep = pa.array(keep, pa.bool_())

@@ -196,6 +196,17 @@ def test_hot_keys_are_split(spark, work, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
+def test_repeated_rows_and_one_text_with_many_partners(spark, work):
+    """A third of all rows repeat one id and text, and many near copies share its text as their partner."""
+    base = [f"w{k}" for k in range(60)]
+    near = [(100 + k, " ".join([*base[: k % 60], f"z{k}", *base[k % 60 + 1 :]])) for k in range(150)]
+    rows = [(1, " ".join(base))] * 150 + near + [(1000 + k, f"alone {k} text {k * 7} of {k * 11}") for k in range(150)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), work, width=2).collect()
+    want = brute_components([rows[0], *rows[150:]], 2)
+    assert len(got) == len(rows) and all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got)
+    assert sum(r["kept"] for r in got if r["doc_id"] == 1) == 150
+
+
 def test_words_of_two_letters_do_not_collide(spark, work):
     """Words that polynomial hashes modulo a power of two confuse are told apart."""
     word = "a"
@@ -411,6 +422,22 @@ def test_wrapped_licenses(leader):
             assert found == whole_text_licenses(scan, text) == {name}, (name, width)
 
 
+def test_whole_licence_texts_as_templates():
+    """A licence of thousands of words, given beside the short notices, is found wrapped and commented, and
+    with a few words changed, but not with a telling word changed."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 10))) for _ in range(800)]
+    body = "House License version 7 " + " ".join(rng.choice(words) for _ in range(3000)) + " end of license"
+    scan = license_scan.Scanner((*TEMPLATES, ("House-7", body)))
+    text = "intro text\n" * 30 + "\n".join(f" * {x}" for x in textwrap.wrap(body, 72)) + "\ncode();" * 30
+    assert [(x[2], x[4]) for x in scan.scan(text)] == [("House-7", 0)]
+    changed = body.split(" ")
+    for k in rng.sample(range(10, 2900), 60):
+        changed[k] = "altered"
+    assert [x[2] for x in scan.scan(" ".join(changed))] == ["House-7"] and scan.scan(" ".join(changed))[0][4] >= 50
+    assert scan.scan(body.replace("version 7", "version 8")) == []
+
+
 def test_licenses_of_long_blocks():
     """A notice among thousands of words with keywords all along is found, each time it stands there."""
     scan = license_scan.scanner()
