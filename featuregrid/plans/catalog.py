@@ -213,6 +213,22 @@ _GABOR_SQL = (
 )
 
 
+def _weights(spark, bank):
+    """Rows (kernel, dy, dx, weight) of a list of kernels."""
+    rows = [(k, y - a.shape[0] // 2, x - a.shape[1] // 2, float(v)) for k, a in enumerate(bank) for (y, x), v in np.ndenumerate(a)]
+    return spark.createDataFrame(rows, "kernel int, dy int, dx int, weight double").withColumn("weight", r6(F.col("weight"), "weight"))
+
+
+@query(
+    "with o(theta, t) as (values (0.0::double, 0), (pi() / 4, 1), (pi() / 2, 2), (3 * pi() / 4, 3)), ph(phi, q) as (values (0.0::double, 0), (0.8::double, 1)), wl(lam, l) as (values (4.0::double, 0), (8.0::double, 1), (16.0::double, 2), (32.0::double, 3))"
+    " select cast(t * 8 + q * 4 + l as int) as kernel, cast(dy as int) as dy, cast(dx as int) as dx, round(exp(-0.5 * ((-dx * cos(theta) - dy * sin(theta)) / 4.0) ** 2 - 0.5 * ((-dy * cos(theta) + dx * sin(theta)) * 0.1 / 4.0) ** 2) * cos(2 * pi() * (-dx * cos(theta) - dy * sin(theta)) / lam + phi), 6) + 0.0 as weight"
+    " from o, ph, wl, range(-15, 16) a(dy), range(-15, 16) b(dx)"
+)
+def gabor_bank(spark, d):
+    """Weights of the 32 Gabor kernels of side 31."""
+    return _weights(spark, kernels.gabor_bank())
+
+
 _FOLD = lambda e, n: f"(case when ((({e}) % (2 * {n})) + 2 * {n}) % (2 * {n}) < {n} then ((({e}) % (2 * {n})) + 2 * {n}) % (2 * {n}) else 2 * {n} - 1 - ((({e}) % (2 * {n})) + 2 * {n}) % (2 * {n}) end)"
 
 
@@ -261,9 +277,7 @@ _AXES_SQL = (
 @query(f"with {_AXES_SQL} select k as kernel, dy, dx, round(w, 6) + 0.0 as weight from lm")
 def lm_bank_axes(spark, d):
     """Weights of the derivative bank at two angles."""
-    rows = [(k, y - a.shape[0] // 2, x - a.shape[1] // 2, float(v)) for k, a in enumerate(kernels.derivative_bank(angles=2)) for (y, x), v in np.ndenumerate(a)]
-    out = spark.createDataFrame(rows, "kernel int, dy int, dx int, weight double")
-    return out.withColumn("weight", r6(F.col("weight"), "weight"))
+    return _weights(spark, kernels.derivative_bank(angles=2))
 
 
 @query()

@@ -370,6 +370,12 @@ def test_truth_products_are_written(spark, tmp_path):
     assert mask[3, 2] == 1 and mask[7, 3] == 0
 
 
+def test_corner_of_a_large_confusion(spark):
+    cells = spark.range(60 * 50).selectExpr("cast(id div 50 as int) as gt", "cast(id % 50 as int) as pred", "id as n")
+    corner = sinks.confusion_corner(cells)
+    assert corner.count() == 1600 and corner.agg(F.max("gt"), F.max("pred")).first()[:] == (39, 39)
+
+
 def test_mini_batches_are_drawn_anew(spark):
     df = spark.range(2000).select("id")
     first, second = ({r["id"] for r in clustering_batches(df, t)} for t in (0, 1))
