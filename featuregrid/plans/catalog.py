@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color, kernels, scalar, weights
 from ..operators import clustering, evaluation, features, matching, metrics, planes, raster, regions, report, scoring, segmentation, stats
-from ..shared import shared_dir
+from ..shared import remove, shared_dir
 from ..sources import files, sinks
 from . import fixtures as fx
 from .fixtures import DIMS, SIDE
@@ -641,7 +641,8 @@ def score_result_tree(spark, d):
     truth = masks.select(F.concat(F.lit("GT/"), F.col("folder"), F.lit("/mask")).alias("name"), gray("gt"))
     found = masks.select(F.concat(F.col("folder"), F.lit("/lab/KMeans/PostProcessed-1")).alias("name"), gray("pred"))
     sinks.write_png(sinks.encode_png(truth.unionByName(found).withColumns({"h": F.lit(H), "w": F.lit(W)}), ["o"]), root, "name")
-    rows = scoring.score_tree(spark, root, _SETTINGS)["per_image_results"]
+    rows = scoring.score_tree(spark, root, _SETTINGS)["per_image_results"]  # a written table
+    remove(spark, root)
     return rows.select(F.substring("image_id", 4, 20).cast("long").alias("image_id"), *[r6(F.col(c), c) for c in ("macro_iou", "macro_boundary_f1", "macro_precision", "weighted_boundary_f1", "pixel_accuracy")], "n_gt_labels", "n_pred_labels", "gt_shape", "algorithm")
 
 
