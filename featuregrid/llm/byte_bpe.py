@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, table
 
 #: Chunks remembered by one task, and the longest chunk that is remembered.
-CACHE_CHUNKS, CACHE_CHARS = 250_000, 64
+CACHE_CHUNKS, CACHE_CHARS = 100_000, 64
 #: Pieces merged at once.
 GROUP = 8192
 

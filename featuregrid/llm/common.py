@@ -64,7 +64,7 @@ class Workspace:
 #: Bytes of a row group that a Parquet writer holds in memory.
 ROW_GROUP = 16 << 20
 #: Bytes of one Arrow batch between the JVM and Python at most.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, table
 
 #: Pieces remembered by one task in each of two tables, and the longest piece that is remembered.
-CACHE_PIECES, CACHE_CHARS = 200_000, 64
+CACHE_PIECES, CACHE_CHARS = 150_000, 64
 #: UTF-8 bytes handed to the library at once.
 BATCH_BYTES = 1 << 20
 #: A text counts as over the limit with more tokens than this.
