@@ -359,9 +359,11 @@ class _Links:
         joined = pairs.join(ends.toDF("v", "n_v", "sig_v"), "v")
         joined = join_by_key(joined, heads, "u", "partners", BROADCAST_ROWS // 8)
         close = work.save(agreeing(joined.where(_sized("n_u", "n_v", self.percent)), self.percent).distinct())
-        self.confirm(close.groupBy("v").agg(F.max(F.struct("agree", (-F.col("u")).alias("u"))).alias("best")).select((-F.col("best.u")).alias("u"), "v"))
-        self.confirm(close)
-        work.drop(pairs, heads, close)
+        best = close.groupBy("v").agg(F.max(F.struct("agree", (-F.col("u")).alias("u"))).alias("best"))
+        best = work.save(best.select((-F.col("best.u")).alias("u"), "v"))
+        self.confirm(best)
+        self.confirm(close.join(broadcast_if_small(best, BROADCAST_ROWS), ["u", "v"], "left_anti"))
+        work.drop(pairs, heads, close, best)
 
     def open_rows(self) -> DataFrame:
         """The members of buckets that still have several components: ``bucket, node, n, component,
